@@ -1,0 +1 @@
+"""Intentionally empty: all inputs are complete tables, no operator here is a stream."""
