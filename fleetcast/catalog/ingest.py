@@ -86,9 +86,7 @@ def s1_csv_source(spark, d):
 def s2_whitespace_source(spark, d):
     path = scratch_folder(spark, "wide-txt")
     wide = raw_wide(spark, d).where("Date IS NOT NULL").select("Date", *BRANDS)
-    line = F.concat_ws("  ", *[F.coalesce(F.col(f"`{c}`"), F.lit("NaN")) for c in wide.columns])
-    header = spark.range(1).select(F.lit("  ".join(wide.columns)).alias("value"))
-    header.unionByName(wide.select(line.alias("value"))).coalesce(1).write.text(path)
+    wide.write.option("header", True).option("sep", "\t").option("nullValue", "NaN").csv(path)
     return validate.typed_long(text.wide_to_long(text.read_table(spark, path))).where(
         F.col("y").isNotNull() | (F.col("series_id") == "Brand#7"))
 

@@ -55,3 +55,14 @@ def fits_broadcast(df: DataFrame) -> bool:
     limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return 0 <= int(size) <= int(limit)
+
+
+def by_series(df: DataFrame, key: str = "series_id") -> DataFrame:
+    """Spread keys over all cores once; later windows and aggregations by key reuse it.
+
+    The explicit count keeps adaptive execution from merging small but compute-heavy
+    partitions into one task.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, key)
