@@ -1,6 +1,6 @@
 """All registered queries with their SQL counterparts."""
 
 from fleetcast.catalog.base import ORACLES, QUERIES
-from fleetcast.catalog import accuracy, calendar_joins, ingest, linear  # noqa: F401
+from fleetcast.catalog import accuracy, calendar_joins, exploration, ingest, linear, smoothing  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLES"]

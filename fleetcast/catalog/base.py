@@ -51,7 +51,7 @@ irregular AS (
 
 def sql(select: str, *ctes: str) -> str:
     """Complete statement: fixtures, extra common table expressions, final select."""
-    return "WITH " + ",\n".join((FIXTURES,) + ctes) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join((FIXTURES,) + ctes) + "\n" + select
 
 
 def query(name: str, oracle: str | None = None):

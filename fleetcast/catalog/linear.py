@@ -60,12 +60,12 @@ def _train(spark, d, config=TWO):
 
 @query("a25_gram", sql("""
 SELECT series_id, COUNT(*)::DOUBLE AS n, SUM(x1) AS s1, SUM(x2) AS s2, ROUND(SUM(y), 2) AS sy, SUM(x1 * x1) AS s11,
-       SUM(x1 * x2) AS s12, ROUND(SUM(x1 * y), 0) AS s1y, SUM(x2 * x2) AS s22, ROUND(SUM(x2 * y), 0) AS s2y
+       SUM(x1 * x2) AS s12, ROUND(SUM(x1 * y), 2) AS s1y, SUM(x2 * x2) AS s22, ROUND(SUM(x2 * y), 2) AS s2y
 FROM rows2 GROUP BY 1""", ROWS))
 def a25(spark, d):
     train, names = _train(spark, d)
     packed = gram.series_moments(train, [*names, "y"])
-    layout = {"n": None, "s1": None, "s2": None, "sy": 2, "s11": None, "s12": None, "s1y": 0, "s22": None, "s2y": 0}
+    layout = {"n": None, "s1": None, "s2": None, "sy": 2, "s11": None, "s12": None, "s1y": 2, "s22": None, "s2y": 2}
     cells = {n: F.get("moments", F.lit(i)) for i, n in enumerate(layout)}
     return packed.select("series_id", *[(c if layout[n] is None else rounded(c, layout[n])).alias(n) for n, c in cells.items()])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations, combinations_with_replacement
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -66,6 +66,9 @@ def strong_pairs(matrix: DataFrame, names: tuple[str, ...], cutoff: float = STRO
     )
 
 
-def driver_pairs(names: tuple[str, ...]) -> Column:
-    """Array of ``(d1, d2)`` with ``d1`` before ``d2`` in the chosen order."""
-    return F.array(*[F.struct(F.lit(a).alias("d1"), F.lit(b).alias("d2")) for a, b in combinations(names, 2)])
+def driver_subsets(drivers_long: DataFrame) -> DataFrame:
+    """Every subset of the drivers as a bitmask and an array, smallest mask first."""
+    names = drivers_long.agg(F.array_sort(F.collect_set("driver")).alias("names"))
+    masks = names.select("names", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2.0), F.size("names")).cast("int") - 1)).alias("mask"))
+    chosen = F.filter("names", lambda n, i: F.col("mask").bitwiseAND(F.pow(F.lit(2.0), i).cast("int")) > 0)
+    return masks.select(F.col("mask").cast("long").alias("mask"), chosen.alias("drivers"), F.size(chosen).cast("long").alias("size"))
