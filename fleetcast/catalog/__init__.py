@@ -1,6 +1,8 @@
 """All registered queries with their SQL counterparts."""
 
 from fleetcast.catalog.base import ORACLES, QUERIES
-from fleetcast.catalog import accuracy, calendar_joins, exploration, ingest, linear, smoothing  # noqa: F401
+from fleetcast.catalog import (  # noqa: F401
+    accuracy, arima_queries, calendar_joins, exploration, ingest, linear, smoothing,
+)
 
 __all__ = ["QUERIES", "ORACLES"]
