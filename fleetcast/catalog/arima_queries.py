@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from fleetcast.catalog.accuracy import naive_fit
-from fleetcast.catalog.base import DAILY, MONTHLY, query, sql
+from fleetcast.catalog.base import DAILY, MONTHLY, daily_input, product_input, query, series_inputs, sql
 from fleetcast.catalog.exploration import _parts_sql
 from fleetcast.catalog.linear import OLS, ROWS, STATS, TWO
 from fleetcast.config import SARIMA, SARIMAX
@@ -17,9 +17,9 @@ from fleetcast.sources import star
 
 
 def _packed(spark, d, method, config=MONTHLY):
-    drivers = star.driver_monthly(spark, d) if method == SARIMAX else None
+    product, drivers = series_inputs(spark, d) if method == SARIMAX else (product_input(spark, d), None)
     names = config.drivers if method == SARIMAX else ()
-    frame = arima.regression_frame(star.product_monthly(spark, d), drivers, config, method)
+    frame = arima.regression_frame(product, drivers, config, method)
     return arima.frame_moments(frame, len(arima.feature_names(names, config.season_length)))
 
 
@@ -94,29 +94,29 @@ def x5_search(spark, d):
 
 @query("x6_sarima_parameters")
 def x6(spark, d):
-    return arima.arima(star.product_monthly(spark, d), None, MONTHLY)[1]
+    return arima.arima(product_input(spark, d), None, MONTHLY)[1]
 
 
 @query("x6_sarimax_parameters")
 def x6_drivers(spark, d):
-    return arima.arima(star.product_monthly(spark, d), star.driver_monthly(spark, d), MONTHLY)[1]
+    return arima.arima(*series_inputs(spark, d), MONTHLY)[1]
 
 
 @query("x7_sarima_forecast")
 def x7(spark, d):
-    return arima.arima(star.product_monthly(spark, d), None, MONTHLY)[0]
+    return arima.arima(product_input(spark, d), None, MONTHLY)[0]
 
 
 @query("x7_sarimax_forecast")
 def x7_drivers(spark, d):
-    return arima.arima(star.product_monthly(spark, d), star.driver_monthly(spark, d), MONTHLY)[0]
+    return arima.arima(*series_inputs(spark, d), MONTHLY)[0]
 
 
 @query("x7_sarima_out_of_sample")
 def x7_oob(spark, d):
-    return arima.arima(star.product_monthly(spark, d), None, replace(MONTHLY, criterion="oob"))[0]
+    return arima.arima(product_input(spark, d), None, replace(MONTHLY, criterion="oob"))[0]
 
 
 @query("x7_sarima_daily")
 def x7_daily(spark, d):
-    return arima.arima(star.product_daily(spark, d), None, DAILY)[0]
+    return arima.arima(daily_input(spark, d), None, DAILY)[0]

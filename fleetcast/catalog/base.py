@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetcast.config import ForecastConfig
+from fleetcast.session import materialize
+from fleetcast.sources import star
 from fleetcast.sources.star import DRIVERS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +65,16 @@ def query(name: str, oracle: str | None = None):
             ORACLES[name] = oracle
         return fn
     return keep
+
+
+def series_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Product and driver tables, written once: methods read them several times, the facts once."""
+    return (materialize(star.product_monthly(spark, sf_dir), "product"), materialize(star.driver_monthly(spark, sf_dir), "drivers"))
+
+
+def product_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(star.product_monthly(spark, sf_dir), "product")
+
+
+def daily_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(star.product_daily(spark, sf_dir), "daily")

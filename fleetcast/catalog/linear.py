@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from fleetcast.catalog.accuracy import AGGREGATE_SQL
-from fleetcast.catalog.base import MONTHLY, query, sql
+from fleetcast.catalog.base import MONTHLY, query, series_inputs, sql
 from fleetcast.catalog.ingest import HORIZON
 from fleetcast.config import ELASTIC_NET, LASSO, MLR, RIDGE
 from fleetcast.functions.scalars import rounded
@@ -46,13 +46,11 @@ scoring AS (
   UNION ALL SELECT s.series_id, f.ds, f.x1, f.x2, 'pred' FROM (SELECT DISTINCT series_id FROM product_monthly) s, future f)"""
 
 
-def _inputs(spark, d):
-    return star.product_monthly(spark, d), star.driver_monthly(spark, d)
+_inputs = series_inputs
 
 
 def _train(spark, d, config=TWO):
-    product, drivers = _inputs(spark, d)
-    rows, names = gram.design(product, drivers, config)
+    rows, names = gram.design(star.product_monthly(spark, d), star.driver_monthly(spark, d), config)
     return calendars.training(rows, config), names
 
 
@@ -167,8 +165,9 @@ def r1_forecast(spark, d):
 
 @query("r9_linear_scoring", _SCORE_SQL)
 def r9(spark, d):
-    models = regress.fit_linear(*_inputs(spark, d), TWO, MLR)
-    rows, names = regress.scoring_rows(*_inputs(spark, d), TWO)
+    product, drivers = _inputs(spark, d)
+    models = regress.fit_linear(product, drivers, TWO, MLR)
+    rows, names = regress.scoring_rows(product, drivers, TWO)
     return regress.score(models, rows, names).select("series_id", "ds", "kind", rounded(F.col("yhat"), 2).alias("yhat"))
 
 
@@ -200,8 +199,9 @@ SELECT c.series_id, c.ds, c.kind, UNNEST(['n_orders', 'open_orders', 'Intercept'
        UNNEST([ROUND(b1 * x1, 2), ROUND(b2 * x2, 2), ROUND(b0, 2)]) AS value
 FROM scoring c JOIN ols o ON c.series_id = o.series_id""", ROWS, STATS, OLS, FUTURE, SCORING))
 def r10(spark, d):
-    models = regress.fit_linear(*_inputs(spark, d), TWO, MLR)
-    rows, names = regress.scoring_rows(*_inputs(spark, d), TWO)
+    product, drivers = _inputs(spark, d)
+    models = regress.fit_linear(product, drivers, TWO, MLR)
+    rows, names = regress.scoring_rows(product, drivers, TWO)
     return regress.contributions(models, rows, names).select(
         "series_id", "ds", "kind", "name", rounded(F.col("value"), 2).alias("value"))
 
@@ -211,8 +211,9 @@ SELECT o.series_id, f.ds, UNNEST(['n_orders', 'open_orders']) AS driver,
        UNNEST([ROUND(b1 * x1, 2), ROUND(b2 * x2, 2)]) AS value
 FROM ols o, future f""", ROWS, STATS, OLS, FUTURE))
 def j9(spark, d):
-    coef = regress.parameters(regress.fit_linear(*_inputs(spark, d), TWO, MLR), TWO.drivers)
-    future = calendars.horizon_rows(star.driver_long(spark, d), TWO, "driver")
+    product, drivers = _inputs(spark, d)
+    coef = regress.parameters(regress.fit_linear(product, drivers, TWO, MLR), TWO.drivers)
+    future = calendars.horizon_rows(drivers.unpivot(["ds"], list(star.DRIVERS), "driver", "x"), TWO, "driver")
     return coef.join(future, F.col("name") == F.col("driver")).select(
         "series_id", "ds", "driver", rounded(F.col("value") * F.col("x"), 2).alias("value"))
 
@@ -316,12 +317,14 @@ SELECT r.series_id, f.ds, ROUND(my - b1 * m1 - b2 * m2 + b1 * x1 * CASE WHEN f.d
 FROM ridge r, future f""", ROWS, STATS, FUTURE, RIDGE_SQL))
 def r4(spark, d):
     """A fitted ridge model scored against edited future drivers."""
-    models = regress.fit_linear(*_inputs(spark, d), TWO, RIDGE)
-    future = calendars.horizon_rows(star.driver_long(spark, d), TWO, "driver").drop("step")
+    product, drivers = _inputs(spark, d)
+    models = regress.fit_linear(product, drivers, TWO, RIDGE)
+    long = drivers.unpivot(["ds"], list(star.DRIVERS), "driver", "x")
+    future = calendars.horizon_rows(long, TWO, "driver").drop("step")
     edits = future.where((F.col("driver") == "n_orders") & (F.col("ds") >= "2001-01-01")).withColumn("x", F.col("x") * 1.1)
     edited = assemble.with_overrides(future, edits)
     wide = edited.groupBy("ds").pivot("driver", list(star.DRIVERS)).agg(F.first("x"))
-    rows, names = regress.scoring_rows(star.product_monthly(spark, d), wide, TWO)
+    rows, names = regress.scoring_rows(product, wide, TWO)
     return regress.score(models, rows.where("kind = 'pred'"), names).select(
         "series_id", "ds", rounded(F.col("yhat"), 2).alias("yhat"))
 
@@ -332,8 +335,9 @@ SELECT o.series_id, UNNEST(['n_orders', 'open_orders', 'Intercept', 'Regularizat
        UNNEST([ROUND(r.b1, 3) + 0.0, ROUND(r.b2, 3) + 0.0, ROUND(r.my - r.b1 * r.m1 - r.b2 * r.m2, 1), ROUND(r.alpha, 3)]) AS "Ridge"
 FROM ols o JOIN ridge r ON o.series_id = r.series_id""", ROWS, STATS, OLS, RIDGE_SQL))
 def j5(spark, d):
-    params = regress.parameters(regress.fit_linear(*_inputs(spark, d), TWO, MLR), TWO.drivers).unionByName(
-        regress.parameters(regress.fit_linear(*_inputs(spark, d), TWO, RIDGE), TWO.drivers))
+    inputs = _inputs(spark, d)
+    params = regress.parameters(regress.fit_linear(*inputs, TWO, MLR), TWO.drivers).unionByName(
+        regress.parameters(regress.fit_linear(*inputs, TWO, RIDGE), TWO.drivers))
     wide = assemble.coefficients_wide(params, (MLR, RIDGE))
     def shown(c):
         return F.when(F.col("name") == "Intercept", rounded(F.col(f"`{c}`"), 1)).otherwise(rounded(F.col(f"`{c}`"), 3)).alias(c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetcast.catalog.accuracy import NAIVE, naive_forecast
-from fleetcast.catalog.base import DAILY, MONTHLY, query, sql
+from fleetcast.catalog.base import DAILY, MONTHLY, daily_input, product_input, query, sql
 from fleetcast.functions.scalars import rounded
 from fleetcast.operators import metrics, smooth
 from fleetcast.sources import star
@@ -85,7 +85,7 @@ best AS (
 
 
 def _fits(spark, d):
-    packed = smooth.packed_series(star.product_monthly(spark, d), MONTHLY)
+    packed = smooth.packed_series(product_input(spark, d), MONTHLY)
     return packed, smooth.fit_configurations(packed, MONTHLY, zoom_rounds=0)
 
 
@@ -125,7 +125,7 @@ FROM (SELECT r.* FROM rec r JOIN par p ON r.config_id = p.config_id AND r.pid =
       WHERE r.config_id = 7 AND p.alpha = 0.3 AND p.beta = 0.1 AND p.gamma = 0.1) w
 JOIN ys USING (series_id) WHERE w.t = ys.n""", GRID, ARRAYS))
 def w9(spark, d):
-    packed = smooth.packed_series(star.product_monthly(spark, d), MONTHLY)
+    packed = smooth.packed_series(product_input(spark, d), MONTHLY)
     return smooth.smooth_additive(packed, M, 0.3, 0.1, 0.1).select(
         "series_id", rounded(F.col("sse"), 0).alias("sse"), rounded(F.col("level"), 3).alias("level"),
         rounded(F.col("slope")).alias("slope"), rounded(F.element_at("seasonal", 1), 3).alias("next_season"))
@@ -178,18 +178,18 @@ def h4(spark, d):
 
 @query("h4_smoothing_parameters")
 def h4_parameters(spark, d):
-    return smooth.holt_winters(star.product_monthly(spark, d), MONTHLY)[1]
+    return smooth.holt_winters(product_input(spark, d), MONTHLY)[1]
 
 
 @query("h2_smoothing_zoomed")
 def h2_zoomed(spark, d):
-    packed = smooth.packed_series(star.product_monthly(spark, d), MONTHLY)
+    packed = smooth.packed_series(product_input(spark, d), MONTHLY)
     return smooth.fit_configurations(packed, MONTHLY)
 
 
 @query("h2_smoothing_daily")
 def h2_daily(spark, d):
-    return smooth.holt_winters(star.product_daily(spark, d), DAILY)[0]
+    return smooth.holt_winters(daily_input(spark, d), DAILY)[0]
 
 
 @query("a24_best_method", sql("""

@@ -140,15 +140,20 @@ def lag_set(m: int) -> tuple[list[int], list[int]]:
     return plain, [m * i for i in range(1, MAX_ORDER + 1)] if m > MAX_ORDER else []
 
 
-def _differenced(value: str, m: int, limit: int, w) -> Column:
-    branches = F
-    for d, sd in cartesian(range(limit + 1), (0, 1)):
-        terms = [F.lag(value, lag).over(w) * c if lag else F.col(value) * c for lag, c in difference_weights(d, sd, m).items()]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        branches = branches.when((F.col("d") == d) & (F.col("seasonal_d") == sd), total)
-    return branches
+def _minus(now: Column, before: Column) -> Column:
+    return F.zip_with(now, before, lambda a, b: a - b)
+
+
+def _differenced(rows: DataFrame, m: int, limit: int, w) -> DataFrame:
+    """Column ``v`` (target and drivers as one array) differenced as each series needs it.
+
+    The windows share partitioning and order, so they run in one sorted pass.
+    """
+    v = F.col("v")
+    out = rows.withColumn("v", F.when(F.col("seasonal_d") == 1, _minus(v, F.lag("v", m).over(w))).otherwise(v))
+    for i in range(1, limit + 1):
+        out = out.withColumn("v", F.when(F.col("d") >= i, _minus(v, F.lag("v", 1).over(w))).otherwise(v))
+    return out
 
 
 def levinson(gamma: Column) -> Column:
@@ -175,30 +180,35 @@ def regression_frame(product: DataFrame, drivers: DataFrame | None, config: Fore
     rows = by_series(rows.join(orders(product, config, method), "series_id"))
     w = Window.partitionBy(*KEY).orderBy("ds")
     whole = Window.partitionBy(*KEY)
-    limit = MAX_D[method]
-    diffed = rows.select(
-        *KEY, "seasonal_d", "ds", "kind", "y", _differenced("y", m, limit, w).alias("w0"),
-        F.array(*[_differenced(n, m, limit, w) for n in names]).cast("array<double>").alias("x"))
+    vector = rows.select(*KEY, "seasonal_d", "ds", "kind", "y", F.array("y", *names).alias("v"))
+    diffed = _differenced(vector, m, MAX_D[method], w).withColumn("w0", F.get("v", F.lit(0)))
     usable = diffed.where((F.col("kind") == "pred") | F.col("w0").isNotNull())
-    framed = usable.withColumn("w_mean", F.avg("w0").over(whole)).withColumn("w", F.col("w0") - F.col("w_mean")).withColumn(
-        "n", F.count("w0").over(whole)).withColumn("rn", F.row_number().over(w))
-    # Drivers are centered on the training rows, like the target.
-    for i in range(len(names)):
-        framed = framed.withColumn(f"_x{i}", F.avg(F.when(F.col("kind") == "fit", F.get("x", F.lit(i)))).over(whole))
-    xs = [F.get("x", F.lit(i)) - F.col(f"_x{i}") for i in range(len(names))]
+    # Target and drivers are centered on the training rows.
+    means = {f"_x{i}": F.avg(F.when(F.col("kind") == "fit", F.get("v", F.lit(i + 1)))).over(whole) for i in range(len(names))}
+    framed = usable.withColumns({
+        "w_mean": F.avg("w0").over(whole), "n": F.count("w0").over(whole), "rn": F.row_number().over(w), **means,
+    }).withColumn("w", F.col("w0") - F.col("w_mean"))
+    xs = [F.get("v", F.lit(i + 1)) - F.col(f"_x{i}") for i in range(len(names))]
     plain, seasonal = lag_set(m)
+    lags = plain + seasonal
     long_ar = max(m + 2, 2 * MAX_ORDER + 2)
 
-    def lagged(name: str, lags) -> Column:
-        return F.array(*[F.coalesce(F.lag(name, j).over(w), F.lit(0.0)) for j in lags])
+    def past(name: str) -> Column:
+        """Earlier values, latest first."""
+        reach = max(lags + [long_ar])
+        return F.reverse(F.collect_list(name).over(w.rowsBetween(-reach, -1)))
+
+    def at(values: str, lag: int) -> Column:
+        return F.coalesce(F.get(values, F.lit(lag - 1)), F.lit(0.0))
 
-    stage1 = framed.withColumn("past", lagged("w", range(1, long_ar + 1)))
-    gamma = F.array(F.sum(F.col("w") * F.col("w")), *[F.sum(F.col("w") * F.get("past", F.lit(j))) for j in range(long_ar)])
+    stage1 = framed.withColumn("past_w", past("w"))
+    gamma = F.array(*[F.sum(F.col("w") * (at("past_w", j) if j else F.col("w"))) for j in range(long_ar + 1)])
     ar = stage1.groupBy(*KEY).agg(gamma.alias("gamma")).select(*KEY, levinson(F.col("gamma")).alias("ar"))
-    predicted = F.aggregate(F.zip_with("ar", "past", lambda a, p: a * p), F.lit(0.0), lambda s, v: s + v)
-    stage2 = stage1.join(ar, KEY).withColumn("e", F.col("w") - predicted)
-    picks = F.array(*[F.get("past", F.lit(j - 1)) if j <= long_ar else F.coalesce(F.lag("w", j).over(w), F.lit(0.0)) for j in plain + seasonal])
-    features = F.concat(F.array(F.lit(1.0), F.col("rn") / F.col("n"), *xs), picks, lagged("e", plain + seasonal))
+    predicted = F.aggregate(
+        F.zip_with("ar", F.slice("past_w", 1, long_ar), lambda a, p: a * F.coalesce(p, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+    stage2 = stage1.join(ar, KEY).withColumn("e", F.col("w") - predicted).withColumn("past_e", past("e"))
+    features = F.array(
+        F.lit(1.0), F.col("rn") / F.col("n"), *xs, *[at("past_w", j) for j in lags], *[at("past_e", j) for j in lags])
     return stage2.select(*KEY, "seasonal_d", "ds", "kind", "y", "w", "w_mean", "n", "rn", "e", features.alias("features"))
 
 
