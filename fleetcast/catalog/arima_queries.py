@@ -12,7 +12,7 @@ from fleetcast.catalog.exploration import _parts_sql
 from fleetcast.catalog.linear import OLS, ROWS, STATS, TWO
 from fleetcast.config import SARIMA, SARIMAX
 from fleetcast.functions.scalars import rounded
-from fleetcast.operators import arima, calendars, gram, smooth
+from fleetcast.operators import arima, calendars, gram
 from fleetcast.sources import star
 
 
@@ -25,7 +25,7 @@ def _packed(spark, d, method, config=MONTHLY):
 
 @query("x1_unit_root_orders")
 def x1(spark, d):
-    return arima.unit_root_orders(smooth.packed_series(star.product_monthly(spark, d), MONTHLY), arima.MAX_D[SARIMA])
+    return arima.differencing_orders(star.product_monthly(spark, d), MONTHLY, arima.MAX_D[SARIMA])
 
 
 @query("x1b_seasonal_order", sql("""
@@ -34,7 +34,7 @@ SELECT series_id, ROUND(greatest(0, 1 - var_samp(rest) / var_samp(seasonal + res
 FROM parts GROUP BY 1""", "tr AS (SELECT * FROM product_monthly WHERE ds >= DATE '1996-01-01' AND ds < DATE '2000-07-01')",
                                  _parts_sql("tr", 12)))
 def x1b(spark, d):
-    return arima.seasonal_order(star.product_monthly(spark, d), MONTHLY).select(
+    return arima.differencing_orders(star.product_monthly(spark, d), MONTHLY, arima.MAX_D[SARIMA]).select(
         "series_id", rounded(F.col("strength"), 6).alias("strength"), F.col("seasonal_d").cast("long").alias("seasonal_d"))
 
 

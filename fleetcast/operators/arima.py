@@ -25,7 +25,7 @@ from fleetcast.operators import explore, smooth
 from fleetcast.operators.calendars import horizon_dates, training
 from fleetcast.operators.gram import moments
 from fleetcast.operators.solvers import squared_error, unpack
-from fleetcast.session import by_series
+from fleetcast.session import by_series, materialize
 
 # Search limits, trend terms and the out-of-sample length.
 MAX_ORDER = 3
@@ -90,37 +90,40 @@ def differences_needed(y: np.ndarray, test: str, limit: int) -> int:
     return limit
 
 
-def unit_root_orders(packed: DataFrame, limit: int) -> DataFrame:
-    """``(series_id, d_adf, d_pp)`` per series."""
+def _orders_of(page: pd.DataFrame, limit: int) -> pd.DataFrame:
+    ys = [np.asarray(v, dtype=float) for v in page["y"]]
+    return page.assign(
+        d_adf=[differences_needed(y, "adf", limit) for y in ys], d_pp=[differences_needed(y, "pp", limit) for y in ys])
+
+
+def _strength() -> Column:
+    """Share of the season in what the trend leaves, between 0 and 1."""
+    both = F.nullif(F.var_samp(F.col("seasonal") + F.col("rest")), F.lit(0.0))
+    return F.coalesce(F.greatest(F.lit(0.0), 1 - F.var_samp("rest") / both), F.lit(0.0))
+
+
+def differencing_orders(product: DataFrame, config: ForecastConfig, limit: int) -> DataFrame:
+    """``(series_id, strength, seasonal_d, d_adf, d_pp)`` of series with a complete window."""
+    m = config.season_length
+    parts = explore.decompose(by_series(training(product, config)), m)
+    packed = parts.groupBy("series_id").agg(
+        F.array_sort(F.collect_list(F.struct("ds", "y"))).alias("rows"), _strength().alias("strength"))
+    # A seasonal difference must leave enough values.
+    seasonal = ((F.col("strength") > SEASONAL_STRENGTH) & (F.size("rows") >= 3 * m)).cast("int")
+    series = packed.where(smooth.is_complete(config.granularity)).select(
+        "series_id", "strength", seasonal.alias("seasonal_d"), F.col("rows.y").alias("y"))
+
     def batches(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
-            ys = [np.asarray(v, dtype=float) for v in page["y"]]
-            yield pd.DataFrame({
-                "series_id": page["series_id"],
-                "d_adf": [differences_needed(y, "adf", limit) for y in ys], "d_pp": [differences_needed(y, "pp", limit) for y in ys]})
-    return packed.select("series_id", "y").mapInPandas(batches, "series_id string, d_adf int, d_pp int")
+            yield _orders_of(page, limit).drop(columns="y")
 
-
-def seasonal_order(product: DataFrame, config: ForecastConfig) -> DataFrame:
-    """``(series_id, strength, seasonal_d)`` from the decomposition of the training window."""
-    parts = explore.decompose(by_series(training(product, config)), config.season_length)
-    both = F.var_samp(F.col("seasonal") + F.col("rest"))
-    strength = F.greatest(F.lit(0.0), 1 - F.var_samp("rest") / F.nullif(both, F.lit(0.0)))
-    return parts.groupBy("series_id").agg(F.coalesce(strength, F.lit(0.0)).alias("strength")).withColumn(
-        "seasonal_d", (F.col("strength") > SEASONAL_STRENGTH).cast("int"))
+    return series.mapInPandas(batches, "series_id string, strength double, seasonal_d int, d_adf int, d_pp int")
 
 
 def orders(product: DataFrame, config: ForecastConfig, method: str) -> DataFrame:
     """``(series_id, d, seasonal_d)``: one row, or two where the unit-root tests disagree."""
-    packed = smooth.packed_series(product, config)
-    roots = unit_root_orders(packed, MAX_D[method])
-    # Enough values must remain after a seasonal difference.
-    room = packed.select("series_id", (F.size("y") >= 3 * config.season_length).alias("room"))
-    choices = F.explode(F.array_distinct(F.array("d_adf", "d_pp"))).alias("d")
-    return (
-        roots.join(seasonal_order(product, config), "series_id").join(room, "series_id")
-        .select("series_id", choices, F.when(F.col("room"), F.col("seasonal_d")).otherwise(0).alias("seasonal_d"))
-    )
+    found = differencing_orders(product, config, MAX_D[method])
+    return found.select("series_id", F.explode(F.array_distinct(F.array("d_adf", "d_pp"))).alias("d"), "seasonal_d")
 
 
 def difference_weights(d: int, seasonal_d: int, m: int) -> dict[int, float]:
@@ -202,7 +205,8 @@ def regression_frame(product: DataFrame, drivers: DataFrame | None, config: Fore
         return F.coalesce(F.get(values, F.lit(lag - 1)), F.lit(0.0))
 
     stage1 = framed.withColumn("past_w", past("w"))
-    gamma = F.array(*[F.sum(F.col("w") * (at("past_w", j) if j else F.col("w"))) for j in range(long_ar + 1)])
+    gamma = F.expr("array(sum(w * w), " + ", ".join(
+        f"sum(w * coalesce(get(past_w, {j}), 0D))" for j in range(long_ar)) + ")")
     ar = stage1.groupBy(*KEY).agg(gamma.alias("gamma")).select(*KEY, levinson(F.col("gamma")).alias("ar"))
     predicted = F.aggregate(
         F.zip_with("ar", F.slice("past_w", 1, long_ar), lambda a, p: a * F.coalesce(p, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
@@ -214,7 +218,7 @@ def regression_frame(product: DataFrame, drivers: DataFrame | None, config: Fore
 
 def frame_moments(frame: DataFrame, n_features: int) -> DataFrame:
     """Moments of the training rows per series, apart for the last rows used by ``oob``."""
-    values = [F.get("features", F.lit(i)) for i in range(1, n_features)] + [F.col("w")]
+    values = [f"get(features, {i})" for i in range(1, n_features)] + ["w"]
     parts = (
         frame.where("kind = 'fit'").withColumn("tail", F.col("rn") > F.col("n") - OUT_OF_SAMPLE)
         .groupBy(*KEY, "seasonal_d", "tail").agg(moments(values).alias("m"))
@@ -410,22 +414,18 @@ def parameter_table(models: DataFrame, names: tuple[str, ...], m: int, method: s
         "series_id", "method", "p.*").where("value IS NOT NULL OR text IS NOT NULL")
 
 
-def forecast(product: DataFrame, frame: DataFrame, models: DataFrame, config: ForecastConfig, method: str, k: int) -> DataFrame:
-    """Recursive forecast over the horizon and the in-sample fit of every series."""
+def forecast(frame: DataFrame, models: DataFrame, config: ForecastConfig, method: str, k: int) -> DataFrame:
+    """Recursive forecast over the horizon and the in-sample fit of every series, in one pass."""
     m = config.season_length
     rows = frame.join(models.select(*KEY, "coef"), KEY)
     residual = F.col("w") - F.aggregate(F.zip_with("coef", "features", lambda b, x: b * x), F.lit(0.0), lambda s, v: s + v)
-    fit = rows.where("kind = 'fit'").select(
-        "series_id", "ds", F.lit(method).alias("method"), F.lit("fit").alias("kind"), (F.col("y") - residual).alias("yhat"))
     # One calendar-sized row per series: its past, and its future trend and driver terms.
-    known = F.array_sort(F.collect_list(F.when(F.col("kind") == "fit", F.struct("ds", "w", "e"))))
+    known = F.array_sort(F.collect_list(F.when(F.col("kind") == "fit", F.struct("ds", "y", "w", "e", (F.col("y") - residual).alias("fit")))))
     ahead = F.array_sort(F.collect_list(F.when(F.col("kind") == "pred", F.struct("ds", F.slice("features", 1, 2 + k).alias("x")))))
-    states = rows.groupBy(*KEY, "seasonal_d").agg(
-        known.alias("known"), ahead.alias("ahead"), F.first("coef").alias("coef"), F.first("w_mean").alias("w_mean"))
-    levels = smooth.packed_series(product, config).select("series_id", "y")
-    flat = states.join(levels, "series_id").select(
-        *KEY, "seasonal_d", "coef", "w_mean", "y", F.col("known.w").alias("w"), F.col("known.e").alias("e"),
-        F.col("ahead.ds").alias("ds"), F.col("ahead.x").alias("x"))
+    packed = rows.groupBy(*KEY, "seasonal_d").agg(
+        known.alias("known"), ahead.alias("ahead"), F.first("coef").alias("coef"), F.first("w_mean").alias("w_mean")
+    ).select(*KEY, "seasonal_d", "coef", "w_mean", *[F.col(f"known.{c}").alias(c) for c in ("y", "w", "e", "fit")],
+             F.col("ahead.x").alias("x"), F.concat("known.ds", "ahead.ds").alias("ds"))
     plain, seasonal = lag_set(m)
     lags = plain + seasonal
 
@@ -440,16 +440,17 @@ def forecast(product: DataFrame, frame: DataFrame, models: DataFrame, config: Fo
             w, e = np.r_[w, nxt], np.r_[e, 0.0]
             # Undo the differences with the latest known or forecast levels.
             y = np.r_[y, nxt + row["w_mean"] - sum(c * y[-j] for j, c in weights.items() if j)]
-        return list(y[len(y) - len(row["x"]):])
+        return [*row["fit"], *y[len(y) - len(row["x"]):]]
 
     def batches(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
-            yield pd.DataFrame({"series_id": page["series_id"], "ds": page["ds"], "yhat": [one(r) for _, r in page.iterrows()]})
+            yield pd.DataFrame({"series_id": page["series_id"], "n_fit": page["fit"].map(len), "ds": page["ds"],
+                                "yhat": [one(r) for _, r in page.iterrows()]})
 
-    pred = flat.mapInPandas(batches, "series_id string, ds array<date>, yhat array<double>").select(
-        "series_id", F.explode(F.arrays_zip("ds", "yhat")).alias("p")).select(
-        "series_id", "p.ds", F.lit(method).alias("method"), F.lit("pred").alias("kind"), "p.yhat")
-    return pred.unionByName(fit)
+    done = packed.mapInPandas(batches, "series_id string, n_fit int, ds array<date>, yhat array<double>")
+    return done.select("series_id", "n_fit", F.posexplode(F.arrays_zip("ds", "yhat")).alias("i", "p")).select(
+        "series_id", "p.ds", F.lit(method).alias("method"),
+        F.when(F.col("i") < F.col("n_fit"), "fit").otherwise("pred").alias("kind"), "p.yhat")
 
 
 def arima(product: DataFrame, drivers: DataFrame | None, config: ForecastConfig, subsets: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -462,8 +463,10 @@ def arima(product: DataFrame, drivers: DataFrame | None, config: ForecastConfig,
     names = config.drivers if drivers is not None else ()
     m, k = config.season_length, len(names)
     frame = regression_frame(product, drivers, config, method)
-    models = search(frame_moments(frame, len(feature_names(names, m))), m, k, config.criterion, subsets)
-    return forecast(product, frame, models, config, method, k), parameter_table(models, names, m, method)
+    found = search(frame_moments(frame, len(feature_names(names, m))), m, k, config.criterion, subsets)
+    # One small row per series, read by the forecast and the report: the search runs once.
+    models = materialize(found, "arima-models")
+    return forecast(frame, models, config, method, k), parameter_table(models, names, m, method)
 
 
 # -- driver subsets without lag terms ---------------------------------------------------

@@ -50,14 +50,17 @@ def scaled(train: DataFrame, names: tuple[str, ...]) -> DataFrame:
         F.array(*[F.col(f"_m{i}") for i in ks]).alias("mean"), F.array(*[F.col(f"_s{i}") for i in ks]).alias("scale"))
 
 
-def moments(values: list[Column]) -> Column:
-    """Upper triangle of the moment matrix of ``(1, *values)``, row by row, as one array."""
-    v = [F.lit(1.0)] + values
-    return F.array(*[F.sum(v[i] * v[j]) for i in range(len(v)) for j in range(i, len(v))])
+def moments(values: list[str]) -> Column:
+    """Upper triangle of the moment matrix of ``(1, *values)``, row by row, as one array.
+
+    ``values`` are SQL expressions: one parsed text instead of thousands of column calls.
+    """
+    v = ["1D", *values]
+    return F.expr("array(" + ", ".join(f"sum({v[i]} * {v[j]})" for i in range(len(v)) for j in range(i, len(v))) + ")")
 
 
 def series_moments(frame: DataFrame, columns: list[str]) -> DataFrame:
-    return frame.groupBy("series_id").agg(moments([F.col(f"`{c}`") for c in columns]).alias("moments"))
+    return frame.groupBy("series_id").agg(moments([f"`{c}`" for c in columns]).alias("moments"))
 
 
 def fold_moments(product: DataFrame, drivers: DataFrame, config: ForecastConfig) -> tuple[DataFrame, tuple[str, ...]]:
@@ -74,7 +77,7 @@ def fold_moments(product: DataFrame, drivers: DataFrame, config: ForecastConfig)
         fold = F.least(F.ceil(back / F.lit(WALK_FORWARD_TEST_ROWS)), F.lit(k + 1)).cast("int")
     else:
         fold = contiguous_fold(k)
-    values = [F.col(f"_z{i}") for i in range(len(names))] + [F.col("_y")]
+    values = [f"_z{i}" for i in range(len(names))] + ["_y"]
     per_fold = frame.withColumn("fold", fold).groupBy("series_id", "fold").agg(
         moments(values).alias("m"), F.first("_my").alias("y_mean"), F.first("mean").alias("mean"), F.first("scale").alias("scale"))
     packed = per_fold.groupBy("series_id").agg(

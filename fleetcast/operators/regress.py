@@ -131,7 +131,7 @@ def least_squares_stats(product: DataFrame, drivers: DataFrame, config: Forecast
     rows, names = design(product, drivers, config)
     frame = scaled(by_series(training(rows, config)), names)
     k = len(names)
-    values = [F.col(f"_z{i}") for i in range(k)] + [F.col("_y")]
+    values = [f"_z{i}" for i in range(k)] + ["_y"]
     packed = frame.groupBy("series_id").agg(
         moments(values).alias("m"), F.first("_my").alias("y_mean"), F.first("mean").alias("mean"), F.first("scale").alias("scale"))
 

@@ -17,7 +17,7 @@ from fleetcast.config import HOLT_WINTERS, ForecastConfig
 from fleetcast.functions.dates import add_periods
 from fleetcast.functions.scalars import box_cox, inverse_box_cox
 from fleetcast.operators.calendars import training
-from fleetcast.session import by_series
+from fleetcast.session import by_series, materialize
 
 # Parameter grid, bounds, and the exponents tried for the transform.
 ALPHAS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
@@ -78,24 +78,26 @@ def with_parameters(configured: DataFrame) -> DataFrame:
 
 # -- transform --------------------------------------------------------------------------
 
-def _likelihoods() -> list[Column]:
-    """Profile log-likelihood of every exponent, as aggregates."""
-    y = F.when(F.col("y") > 0, F.col("y"))
-    logs = F.sum(F.ln(y))
-    return [F.struct(
-        (-F.count("y") / 2 * F.ln(F.nullif(F.var_pop(box_cox(y, F.lit(lam))), F.lit(0.0))) + (lam - 1) * logs).alias("llf"),
-        F.lit(-lam).alias("order"), F.lit(lam).alias("lam")) for lam in LAMBDAS]
-
-
-def _best_lambda(entries: Column) -> Column:
-    known = F.filter(entries, lambda e: e["llf"].isNotNull())
-    return F.get(F.transform(F.slice(F.reverse(F.array_sort(known)), 1, 1), lambda e: e["lam"]), F.lit(0))
+def _best_lambda() -> Column:
+    """Exponent with the highest profile log-likelihood, as one aggregate over positive ``y``."""
+    def likelihood(lam: float) -> str:
+        z = "ln(y)" if lam == 0 else f"(pow(y, {lam}D) - 1) / {lam}D"
+        return (f"struct(-count(y) / 2 * ln(nullif(var_pop(if(y > 0, {z}, NULL)), 0D)) + {lam - 1}D * sum(if(y > 0, ln(y), NULL)) AS llf, "
+                f"{-lam}D AS tie, {lam}D AS lam)")
+    entries = ", ".join(likelihood(lam) for lam in LAMBDAS)
+    return F.expr(f"if(min(y) > 0, array_max(filter(array({entries}), e -> e.llf IS NOT NULL)).lam, NULL)")
 
 
 def box_cox_lambda(product: DataFrame) -> DataFrame:
     """Exponent with the highest likelihood per series; NULL when a value is not positive."""
-    return product.groupBy("series_id").agg(
-        F.when(F.min("y") > 0, _best_lambda(F.array(*_likelihoods()))).alias("lam"))
+    return product.groupBy("series_id").agg(_best_lambda().alias("lam"))
+
+
+def is_complete(gran: str) -> Column:
+    """Whether ``rows``, an ordered array of ``(ds, y)``, has a value for every period of its span."""
+    first, last = F.element_at("rows", 1)["ds"], F.element_at("rows", -1)["ds"]
+    periods = F.months_between(last, first) if gran == "month" else F.datediff(last, first) / (7 if gran == "week" else 1)
+    return (F.size("rows") == periods + 1) & ~F.exists("rows", lambda r: r["y"].isNull())
 
 
 def packed_series(product: DataFrame, config: ForecastConfig) -> DataFrame:
@@ -103,13 +105,9 @@ def packed_series(product: DataFrame, config: ForecastConfig) -> DataFrame:
 
     The arrays are calendar-sized: one value per period of the window.
     """
-    train = by_series(training(product, config))
-    rows = F.array_sort(F.collect_list(F.struct("ds", "y")))
-    packed = train.groupBy("series_id").agg(
-        rows.alias("rows"), F.when(F.min("y") > 0, _best_lambda(F.array(*_likelihoods()))).alias("lam"))
-    whole = F.months_between(F.element_at("rows", -1)["ds"], F.element_at("rows", 1)["ds"]) + 1 if config.granularity == "month" else (
-        F.datediff(F.element_at("rows", -1)["ds"], F.element_at("rows", 1)["ds"]) / {"day": 1, "week": 7}[config.granularity] + 1)
-    return packed.where((F.size("rows") == whole) & ~F.exists("rows", lambda r: r["y"].isNull())).select(
+    packed = by_series(training(product, config)).groupBy("series_id").agg(
+        F.array_sort(F.collect_list(F.struct("ds", "y"))).alias("rows"), _best_lambda().alias("lam"))
+    return packed.where(is_complete(config.granularity)).select(
         "series_id", F.col("rows.ds").alias("ds"), F.col("rows.y").alias("y"), "lam")
 
 
@@ -352,7 +350,8 @@ def parameter_table(states: DataFrame) -> DataFrame:
 def holt_winters(product: DataFrame, config: ForecastConfig, zoom_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """``(forecast and fit, parameters)`` of the best configuration of every series."""
     packed = packed_series(product, config)
-    states = final_states(chosen(packed, fit_configurations(packed, config, zoom_rounds)), config)
+    # One row per series, read by forecast, fit and report: the search runs once.
+    states = materialize(final_states(chosen(packed, fit_configurations(packed, config, zoom_rounds)), config), "smoothing-states")
     return h_step(states, config).unionByName(fitted(states)), parameter_table(states)
 
 

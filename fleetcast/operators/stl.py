@@ -8,7 +8,6 @@ applied to all series of a batch at once.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -58,7 +57,6 @@ def _averages(n: int, m: int) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=32)
 def stl_matrices(n: int, period: int) -> tuple[np.ndarray, np.ndarray]:
     """``(S, T)`` with seasonal ``S y`` and trend ``T y`` for a series of length ``n``."""
     trend_span = _odd(1.5 * period / (1 - 1.5 / SEASONAL_SPAN))
@@ -90,9 +88,12 @@ def decompose(product: DataFrame, period: int, key: str = "series_id") -> DataFr
     series = packed.select(key, F.col("rows.ds").alias("ds"), F.col("rows.y").alias("y"))
 
     def batches(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        built = {}
         for page in pages:
             for n, group in page.groupby(page["y"].map(len)):
-                s, t = stl_matrices(int(n), period)
+                if n not in built:
+                    built[n] = stl_matrices(int(n), period)
+                s, t = built[n]
                 y = np.stack(group["y"].to_numpy())
                 out = group[[key, "ds", "y"]].copy()
                 out["seasonal"], out["trend"] = list(y @ s.T), list(y @ t.T)
