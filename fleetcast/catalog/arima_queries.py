@@ -31,7 +31,8 @@ def x1(spark, d):
 @query("x1b_seasonal_order", sql("""
 SELECT series_id, ROUND(greatest(0, 1 - var_samp(rest) / var_samp(seasonal + rest)), 6) AS strength,
        CAST(greatest(0, 1 - var_samp(rest) / var_samp(seasonal + rest)) > 0.64 AS BIGINT) AS seasonal_d
-FROM parts GROUP BY 1""", "tr AS (SELECT * FROM product_monthly WHERE ds >= DATE '1996-01-01' AND ds < DATE '2000-07-01')",
+FROM parts GROUP BY 1
+HAVING COUNT(*) = date_diff('month', MIN(ds), DATE '2000-07-01') AND MAX(ds) = DATE '2000-06-01'""", "tr AS (SELECT * FROM product_monthly WHERE ds >= DATE '1996-01-01' AND ds < DATE '2000-07-01')",
                                  _parts_sql("tr", 12)))
 def x1b(spark, d):
     return arima.differencing_orders(star.product_monthly(spark, d), MONTHLY, arima.MAX_D[SARIMA]).select(

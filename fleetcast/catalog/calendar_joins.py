@@ -209,7 +209,8 @@ def j10_semi(spark, d):
 
 
 @query("j10_anti_join", sql("""
-SELECT series_id, ds, y FROM irregular WHERE series_id LIKE 'Brand%' AND series_id > 'Brand#2'"""))
+SELECT series_id, ds, y FROM irregular WHERE series_id LIKE 'Brand%' AND series_id IN (
+  SELECT series_id FROM irregular WHERE ds >= DATE '1996-01-01' AND ds < DATE '2000-07-01' GROUP BY 1 HAVING COUNT(y) = 54)"""))
 def j10_anti(spark, d):
     monthly = irregular(spark, d).where("series_id LIKE 'Brand%'")
     blocked = validate.blocked_series(calendars.aligned_calendar(monthly, "month", MONTHLY, "series_id", "y"))

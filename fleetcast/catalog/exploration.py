@@ -23,13 +23,17 @@ seasoned AS (SELECT *, AVG(y - trend) OVER (PARTITION BY series_id, pos) AS seas
 parts AS (SELECT *, y - trend - seasonal AS rest FROM seasoned)"""
 
 
-# Means of cents over 12 values have no ties at 4 decimals, means of such means none at 5.
-_DIGITS = {"trend": 4, "seasonal": 5, "rest": 5}
-_ROUND_PARTS = ", ".join(f"ROUND({c}, {n}) + 0.0 AS {c}" for c, n in _DIGITS.items())
+# The trend is a mean of cents over one cycle, which has no ties at 4 decimals; season and
+# rest are compared as shares of the mean level.
+_ROUND_PARTS = ("ROUND(trend, 4) AS trend, ROUND(seasonal / AVG(y) OVER (PARTITION BY series_id), 9) + 0.0 AS seasonal_share, "
+                "ROUND(rest / AVG(y) OVER (PARTITION BY series_id), 9) + 0.0 AS rest_share")
 
 
-def _shown(parts, *columns):
-    return parts.select("series_id", "ds", *[rounded(F.col(c), _DIGITS[c]).alias(c) for c in columns])
+def _shown(parts):
+    level = F.avg("y").over(Window.partitionBy("series_id"))
+    return parts.select(
+        "series_id", "ds", rounded(F.col("trend"), 4).alias("trend"), rounded(F.col("seasonal") / level, 9).alias("seasonal_share"),
+        rounded(F.col("rest") / level, 9).alias("rest_share"))
 
 
 @query("w4_moving_average", sql("SELECT series_id, ds, ROUND(trend, 4) AS trend FROM trended", _parts_sql("product_monthly", 12)))
@@ -38,9 +42,10 @@ def w4(spark, d):
     return product.select("series_id", "ds", rounded(explore.moving_average(F.col("y"), 12), 4).alias("trend"))
 
 
-@query("w5_seasonal_index", sql("SELECT series_id, ds, ROUND(seasonal, 5) + 0.0 AS seasonal FROM parts", _parts_sql("product_monthly", 12)))
+@query("w5_seasonal_index", sql("""
+SELECT series_id, ds, ROUND(seasonal / AVG(y) OVER (PARTITION BY series_id), 9) + 0.0 AS seasonal_share FROM parts""", _parts_sql("product_monthly", 12)))
 def w5(spark, d):
-    return _shown(explore.decompose(star.product_monthly(spark, d), 12), "seasonal")
+    return _shown(explore.decompose(star.product_monthly(spark, d), 12)).select("series_id", "ds", "seasonal_share")
 
 
 _Z_SQL = """
@@ -60,19 +65,19 @@ def w6(spark, d):
 
 @query("d1_decompose", sql(f"SELECT series_id, ds, {_ROUND_PARTS} FROM parts", _parts_sql("product_monthly", 12)))
 def d1(spark, d):
-    return _shown(explore.decompose(star.product_monthly(spark, d), 12), "trend", "seasonal", "rest")
+    return _shown(explore.decompose(star.product_monthly(spark, d), 12))
 
 
 @query("d1_decompose_daily", sql(f"SELECT series_id, ds, {_ROUND_PARTS} FROM parts", _parts_sql("product_daily", 7)))
 def d1_daily(spark, d):
-    return _shown(explore.decompose(star.product_daily(spark, d), 7), "trend", "seasonal", "rest")
+    return _shown(explore.decompose(star.product_daily(spark, d), 7))
 
 
 @query("d1_decompose_drivers", sql(f"SELECT series_id, ds, {_ROUND_PARTS} FROM parts",
                                    "dl AS (SELECT driver AS series_id, ds, x AS y FROM driver_long)", _parts_sql("dl", 12)))
 def d1_drivers(spark, d):
     drivers = star.driver_long(spark, d).select(F.col("driver").alias("series_id"), "ds", F.col("x").alias("y"))
-    return _shown(explore.decompose(drivers, 12), "trend", "seasonal", "rest")
+    return _shown(explore.decompose(drivers, 12))
 
 
 @query("d2_stl")

@@ -71,24 +71,28 @@ typed AS (
          WHEN series_id = 'Brand#9' AND ds = DATE '1999-05-01' THEN 0.0 ELSE y END AS y
   FROM product_monthly WHERE ds <> DATE '1997-02-01' AND series_id <> 'Brand#3')"""
 
+# A wide file has a cell for every date and column: absent values become NULL.
+WIDE = sql("""
+SELECT b.series_id, c.ds, t.y FROM (SELECT DISTINCT series_id FROM product_monthly WHERE series_id <> 'Brand#3') b
+CROSS JOIN (SELECT DISTINCT ds FROM product_monthly WHERE ds <> DATE '1997-02-01') c
+LEFT JOIN typed t ON t.series_id = b.series_id AND t.ds = c.ds""", TYPED)
+
 
 # -- sources ----------------------------------------------------------------------------
 
-@query("s1_csv_source", sql("SELECT series_id, ds, y FROM typed", TYPED))
+@query("s1_csv_source", WIDE)
 def s1_csv_source(spark, d):
     path = scratch_folder(spark, "wide-csv")
     raw_wide(spark, d).write.option("header", True).csv(path)
-    return validate.typed_long(text.wide_to_long(text.read_table(spark, path))).where(
-        F.col("y").isNotNull() | (F.col("series_id") == "Brand#7"))
+    return validate.typed_long(text.wide_to_long(text.read_table(spark, path)))
 
 
-@query("s2_whitespace_source", sql("SELECT series_id, ds, y FROM typed", TYPED))
+@query("s2_whitespace_source", WIDE)
 def s2_whitespace_source(spark, d):
     path = scratch_folder(spark, "wide-txt")
     wide = raw_wide(spark, d).where("Date IS NOT NULL").select("Date", *BRANDS)
     wide.write.option("header", True).option("sep", "\t").option("nullValue", "NaN").csv(path)
-    return validate.typed_long(text.wide_to_long(text.read_table(spark, path))).where(
-        F.col("y").isNotNull() | (F.col("series_id") == "Brand#7"))
+    return validate.typed_long(text.wide_to_long(text.read_table(spark, path)))
 
 
 @query("s4_example_loader", sql("""
@@ -263,11 +267,11 @@ def v15(spark, d):
 
 @query("v16_default_season", sql("""
 SELECT series_id, CASE WHEN gap BETWEEN 28 AND 31 THEN 'month' WHEN gap = 1 THEN 'day' END AS gran,
-       CAST(CASE WHEN gap BETWEEN 28 AND 31 THEN 12 WHEN gap = 1 THEN 7 END AS BIGINT) AS season
+       CAST(CASE WHEN gap BETWEEN 28 AND 31 THEN 12 WHEN gap = 1 THEN 7 END AS DOUBLE) AS season
 FROM (SELECT series_id, date_diff('day', MAX(ds) FILTER (WHERE rn = 1), MAX(ds) FILTER (WHERE rn = 2)) AS gap
       FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY ds) AS rn FROM product_any) GROUP BY 1)"""))
 def v16(spark, d):
-    return validate.default_season(validate.infer_granularity(product_any(spark, d)))
+    return validate.default_season(validate.infer_granularity(product_any(spark, d))).withColumn("season", F.col("season").cast("double"))
 
 
 # -- completeness -----------------------------------------------------------------------

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from fleetcast.catalog.accuracy import AGGREGATE_SQL
 from fleetcast.catalog.base import MONTHLY, query, series_inputs, sql
-from fleetcast.catalog.ingest import HORIZON
 from fleetcast.config import ELASTIC_NET, LASSO, MLR, RIDGE
 from fleetcast.functions.scalars import rounded
 from fleetcast.operators import calendars, gram, metrics, regress, validate, windows
@@ -220,12 +219,13 @@ def j9(spark, d):
 
 ACCURACY = """
 fc AS (
-  SELECT h.series_id, h.ds, 'Multiple lineare Regression' AS method, h.y, b0 + b1 * x1 + b2 * x2 AS yhat,
-         b0 + b1 * x1 + b2 * x2 - h.y AS e, 100 * abs(b0 + b1 * x1 + b2 * x2 - h.y) / abs(h.y) AS ape
-  FROM horizon h JOIN future f ON h.ds = f.ds JOIN ols o ON o.series_id = h.series_id
-  WHERE o.series_id IN (
-    SELECT series_id FROM product_monthly GROUP BY 1 HAVING date_diff('day', MIN(ds), MAX(ds)) >= 366
-    AND COUNT(*) FILTER (WHERE ds >= DATE '1996-01-01' AND ds < DATE '2000-07-01') = 54))"""
+  SELECT *, yhat - y AS e, 100 * abs(yhat - y) / abs(y) AS ape FROM (
+    SELECT o.series_id, f.ds, 'Multiple lineare Regression' AS method, p.y, b0 + b1 * x1 + b2 * x2 AS yhat
+    FROM ols o CROSS JOIN future f LEFT JOIN product_monthly p ON p.series_id = o.series_id AND p.ds = f.ds
+    WHERE o.series_id IN (
+      SELECT series_id FROM product_monthly GROUP BY 1 HAVING date_diff('day', MIN(ds), MAX(ds)) >= 366
+      AND COUNT(*) FILTER (WHERE ds >= DATE '1996-01-01' AND ds < DATE '2000-07-01') = 54)))"""
+_GUARDED = ", ".join(f"CASE WHEN COUNT(*) = COUNT(e) THEN {AGGREGATE_SQL[n]} END AS {n}" for n in ("mape", "mae", "total_bias"))
 
 
 def usable_series(product, config):
@@ -235,16 +235,13 @@ def usable_series(product, config):
     return product.join(blocked, "series_id", "left_anti").join(enough, "series_id", "left_semi")
 
 
-@query("r1_mlr_accuracy", sql(f"""
-SELECT series_id, method, {AGGREGATE_SQL['mape']} AS mape, {AGGREGATE_SQL['mae']} AS mae,
-       {AGGREGATE_SQL['total_bias']} AS total_bias FROM fc GROUP BY 1, 2""", ROWS, STATS, OLS, FUTURE, HORIZON, ACCURACY))
+@query("r1_mlr_accuracy", sql(f"SELECT series_id, method, {_GUARDED} FROM fc GROUP BY 1, 2", ROWS, STATS, OLS, FUTURE, ACCURACY))
 def r1_accuracy(spark, d):
     """Checked series, regression on two drivers, forecast, and its errors over the horizon."""
     product, drivers = _inputs(spark, d)
     product = usable_series(product, TWO)
     forecast = regress.forecast_linear(product, drivers, TWO, MLR).where("kind = 'pred'")
-    actual = calendars.horizon_rows(product, TWO)
-    joined = forecast.join(actual, ["series_id", "ds"], "left")
+    joined = forecast.join(product, ["series_id", "ds"], "left")
     return metrics.score(joined, ("mape", "mae", "total_bias"))
 
 
@@ -344,8 +341,59 @@ def j5(spark, d):
     return wide.select("series_id", "name", shown(MLR), shown(RIDGE))
 
 
-@query("r5_lasso")
+def _penalized_sql(ratios: tuple[float, ...]) -> str:
+    """Two drivers: the minimum of the objective over all sign patterns, for every penalty."""
+    points = ", ".join(f"""{{'b1': (({p}) * (q22 + l2) - ({q}) * q12) / det, 'b2': (({q}) * (q11 + l2) - ({p}) * q12) / det}}"""
+                       for p in ("q1 - l1", "q1 + l1") for q in ("q2 - l1", "q2 + l1"))
+    def best(source: str) -> str:
+        return f"""
+  SELECT *, list_min(list_transform([{{'b1': 0.0::DOUBLE, 'b2': 0.0::DOUBLE}},
+      {{'b1': sign(q1) * greatest(abs(q1) - l1, 0) / (q11 + l2), 'b2': 0.0::DOUBLE}},
+      {{'b1': 0.0::DOUBLE, 'b2': sign(q2) * greatest(abs(q2) - l1, 0) / (q22 + l2)}}, {points}],
+    lambda p: {{'o': (q11 + l2) * p.b1 * p.b1 / 2 + (q22 + l2) * p.b2 * p.b2 / 2 + q12 * p.b1 * p.b2 - q1 * p.b1 - q2 * p.b2
+                     + l1 * (abs(p.b1) + abs(p.b2)), 'b1': p.b1, 'b2': p.b2}})) AS best
+  FROM (SELECT *, (q11 + l2) * (q22 + l2) - q12 * q12 AS det FROM {source})"""
+    listed = ", ".join(str(r) for r in ratios)
+    return RIDGE_SQL.split("alphas AS")[0] + f"""
+pen AS (SELECT i, r, alpha, ratio, alpha * ratio AS l1, alpha * (1 - ratio) AS l2 FROM (
+  SELECT i, 0.5::DOUBLE * pow(10::DOUBLE, 10 - 12 * i / 4999::DOUBLE) AS alpha FROM (SELECT UNNEST(generate_series(0, 4999)) AS i)),
+  (SELECT UNNEST([{listed}]::DOUBLE[]) AS ratio, UNNEST(generate_series(1, {len(ratios)})) AS r)),
+paths AS ({best("(SELECT tr.*, pen.*, a11 / tn AS q11, a22 / tn AS q22, a12 / tn AS q12, c1 / tn AS q1, c2 / tn AS q2 FROM tr, pen)")}),
+errors AS (
+  SELECT series_id, i, r, alpha, ratio, list_sum(list((syy + n * b0 * b0 + b1 * b1 * s11 + b2 * b2 * s22 - 2 * b0 * sy - 2 * b1 * s1y - 2 * b2 * s2y
+         + 2 * b0 * b1 * s1 + 2 * b0 * b2 * s2 + 2 * b1 * b2 * s12) / n ORDER BY fold)) / 5 AS mse
+  FROM (SELECT *, best.b1 AS b1, best.b2 AS b2, ty - best.b1 * t1 - best.b2 * t2 AS b0 FROM paths) GROUP BY ALL),
+chosen AS (SELECT * FROM errors QUALIFY ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY mse, r, i) = 1),
+final AS ({best("""(SELECT k.series_id, k.alpha, k.ratio, k.mse, alpha * ratio AS l1, alpha * (1 - ratio) AS l2, my, m1, m2, s1 AS sd1, s2 AS sd2,
+    1.0::DOUBLE AS q11, 1.0::DOUBLE AS q22, c12 / (s1 * s2) AS q12, c1y / s1 AS q1, c2y / s2 AS q2
+    FROM chosen k JOIN stats o ON k.series_id = o.series_id)""")})"""
+
+
+_PENALIZED_SELECT = """
+SELECT series_id, ROUND(alpha, 3) AS alpha, ROUND(ratio, 2) AS l1_ratio, ROUND(sqrt(mse), 3) AS cv_rmse, ROUND(best.b1 / sd1, 4) + 0.0 AS b1,
+       ROUND(best.b2 / sd2, 4) + 0.0 AS b2, ROUND(my - best.b1 / sd1 * m1 - best.b2 / sd2 * m2, 2) AS intercept FROM final"""
+
+
+def _penalized(spark, d, method):
+    m = regress.unscaled(regress.fit_linear(*_inputs(spark, d), TWO, method))
+    return m.select(
+        "series_id", rounded(F.col("alpha"), 3).alias("alpha"), F.coalesce("l1_ratio", F.lit(1.0)).alias("l1_ratio"),
+        rounded(F.sqrt("cv_score"), 3).alias("cv_rmse"), rounded(F.get("raw_coef", F.lit(0))).alias("b1"),
+        rounded(F.get("raw_coef", F.lit(1))).alias("b2"), rounded(F.col("raw_intercept"), 2).alias("intercept"))
+
+
+@query("r5_lasso", sql(_PENALIZED_SELECT, ROWS, STATS, _penalized_sql((1.0,))))
 def r5(spark, d):
+    return _penalized(spark, d, LASSO)
+
+
+@query("r6_elastic_net", sql(_PENALIZED_SELECT, ROWS, STATS, _penalized_sql(regress.L1_RATIOS)))
+def r6(spark, d):
+    return _penalized(spark, d, ELASTIC_NET)
+
+
+@query("r5_lasso_four_drivers")
+def r5_four(spark, d):
     return regress.parameters(regress.fit_linear(*_inputs(spark, d), MONTHLY, LASSO), MONTHLY.drivers)
 
 
@@ -354,8 +402,8 @@ def r5_forecast(spark, d):
     return regress.forecast_linear(*_inputs(spark, d), MONTHLY, LASSO)
 
 
-@query("r6_elastic_net")
-def r6(spark, d):
+@query("r6_elastic_net_four_drivers")
+def r6_four(spark, d):
     return regress.parameters(regress.fit_linear(*_inputs(spark, d), MONTHLY, ELASTIC_NET), MONTHLY.drivers)
 
 

@@ -39,7 +39,7 @@ lam AS (
     WHERE ds >= DATE '1996-01-01' AND ds < DATE '2000-07-01' GROUP BY 1, 2) GROUP BY 1),
 ys AS (
   SELECT series_id, list(y ORDER BY ds) AS y, list(ds ORDER BY ds) AS ds, COUNT(*) AS n FROM product_monthly
-  WHERE ds >= DATE '1996-01-01' AND ds < DATE '2000-07-01' GROUP BY 1 HAVING COUNT(*) = date_diff('month', MIN(ds), MAX(ds)) + 1),
+  WHERE ds >= DATE '1996-01-01' AND ds < DATE '2000-07-01' GROUP BY 1 HAVING COUNT(*) = date_diff('month', MIN(ds), DATE '2000-07-01') AND MAX(ds) = DATE '2000-06-01'),
 arr AS (
   SELECT ys.series_id, n, FALSE AS box_cox, NULL::DOUBLE AS lam, y AS z FROM ys
   UNION ALL

@@ -110,7 +110,7 @@ def differencing_orders(product: DataFrame, config: ForecastConfig, limit: int)
         F.array_sort(F.collect_list(F.struct("ds", "y"))).alias("rows"), _strength().alias("strength"))
     # A seasonal difference must leave enough values.
     seasonal = ((F.col("strength") > SEASONAL_STRENGTH) & (F.size("rows") >= 3 * m)).cast("int")
-    series = packed.where(smooth.is_complete(config.granularity)).select(
+    series = packed.where(smooth.is_complete(config)).select(
         "series_id", "strength", seasonal.alias("seasonal_d"), F.col("rows.y").alias("y"))
 
     def batches(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -93,11 +93,12 @@ def box_cox_lambda(product: DataFrame) -> DataFrame:
     return product.groupBy("series_id").agg(_best_lambda().alias("lam"))
 
 
-def is_complete(gran: str) -> Column:
-    """Whether ``rows``, an ordered array of ``(ds, y)``, has a value for every period of its span."""
+def is_complete(config: ForecastConfig) -> Column:
+    """Whether ``rows``, an ordered array of ``(ds, y)``, has a value for every period up to the cut."""
+    gran, cut = config.granularity, F.lit(config.forecast_start)
     first, last = F.element_at("rows", 1)["ds"], F.element_at("rows", -1)["ds"]
-    periods = F.months_between(last, first) if gran == "month" else F.datediff(last, first) / (7 if gran == "week" else 1)
-    return (F.size("rows") == periods + 1) & ~F.exists("rows", lambda r: r["y"].isNull())
+    periods = F.months_between(cut, first) if gran == "month" else F.datediff(cut, first) / (7 if gran == "week" else 1)
+    return (F.size("rows") == periods) & (add_periods(last, F.lit(1), gran) == cut) & ~F.exists("rows", lambda r: r["y"].isNull())
 
 
 def packed_series(product: DataFrame, config: ForecastConfig) -> DataFrame:
@@ -107,7 +108,7 @@ def packed_series(product: DataFrame, config: ForecastConfig) -> DataFrame:
     """
     packed = by_series(training(product, config)).groupBy("series_id").agg(
         F.array_sort(F.collect_list(F.struct("ds", "y"))).alias("rows"), _best_lambda().alias("lam"))
-    return packed.where(is_complete(config.granularity)).select(
+    return packed.where(is_complete(config)).select(
         "series_id", F.col("rows.ds").alias("ds"), F.col("rows.y").alias("y"), "lam")
 
 
