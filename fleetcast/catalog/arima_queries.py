@@ -12,7 +12,7 @@ from fleetcast.catalog.exploration import _parts_sql
 from fleetcast.catalog.linear import OLS, ROWS, STATS, TWO
 from fleetcast.config import SARIMA, SARIMAX
 from fleetcast.functions.scalars import rounded
-from fleetcast.operators import arima, calendars, gram
+from fleetcast.operators import arima, gram
 from fleetcast.sources import star
 
 
@@ -25,7 +25,7 @@ def _packed(spark, d, method, config=MONTHLY):
 
 @query("x1_unit_root_orders")
 def x1(spark, d):
-    return arima.differencing_orders(star.product_monthly(spark, d), MONTHLY, arima.MAX_D[SARIMA])
+    return arima.differencing_orders(star.product_monthly(spark, d, MONTHLY.train_start, MONTHLY.forecast_start), MONTHLY, arima.MAX_D[SARIMA])
 
 
 @query("x1b_seasonal_order", sql("""
@@ -35,7 +35,7 @@ FROM parts GROUP BY 1
 HAVING COUNT(*) = date_diff('month', MIN(ds), DATE '2000-07-01') AND MAX(ds) = DATE '2000-06-01'""", "tr AS (SELECT * FROM product_monthly WHERE ds >= DATE '1996-01-01' AND ds < DATE '2000-07-01')",
                                  _parts_sql("tr", 12)))
 def x1b(spark, d):
-    return arima.differencing_orders(star.product_monthly(spark, d), MONTHLY, arima.MAX_D[SARIMA]).select(
+    return arima.differencing_orders(star.product_monthly(spark, d, MONTHLY.train_start, MONTHLY.forecast_start), MONTHLY, arima.MAX_D[SARIMA]).select(
         "series_id", rounded(F.col("strength"), 6).alias("strength"), F.col("seasonal_d").cast("long").alias("seasonal_d"))
 
 
@@ -80,8 +80,9 @@ SELECT series_id, arg_min(mask, aic) AS driver_mask, ROUND(MIN(aic), 4) AS crite
            UNNEST([n * vy, n * (vy - c1y * c1y / v1), n * (vy - c2y * c2y / v2), n * (vy - b1 * c1y - b2 * c2y)]) AS sse FROM ols))
 GROUP BY 1""", ROWS, STATS, OLS))
 def x5(spark, d):
-    rows, names = gram.design(star.product_monthly(spark, d), star.driver_monthly(spark, d), TWO)
-    centered = gram.scaled(calendars.training(rows, TWO), names)
+    product = star.product_monthly(spark, d, TWO.train_start, TWO.forecast_start)
+    rows, names = gram.design(product, star.driver_monthly(spark, d), TWO)
+    centered = gram.scaled(rows, names)
     packed = gram.series_moments(centered, [*[f"_z{i}" for i in range(len(names))], "_y"])
     return arima.best_driver_subset(packed, names).select(
         "series_id", F.col("driver_mask").cast("long").alias("driver_mask"), rounded(F.col("criterion")).alias("criterion"))

@@ -83,7 +83,7 @@ def p1(spark, d):
 
 @query("p2_training_window", sql("SELECT series_id, ds, y FROM train", TRAIN))
 def p2(spark, d):
-    return calendars.training(star.product_monthly(spark, d), MONTHLY)
+    return star.product_monthly(spark, d, MONTHLY.train_start, MONTHLY.forecast_start)
 
 
 @query("p3_test_window", sql("SELECT series_id, ds, y, step FROM horizon", HORIZON))

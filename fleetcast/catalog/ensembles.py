@@ -53,7 +53,7 @@ FROM drawn c CROSS JOIN (SELECT fold, COUNT(*) AS test_rows FROM panel GROUP BY
 def _draws(space):
     def run(spark, d):
         """Every drawn candidate with the rows it is trained and tested on per fold."""
-        framed, _ = trees.panel(star.product_monthly(spark, d), star.driver_monthly(spark, d), MONTHLY)
+        framed, _ = trees.panel(star.product_monthly(spark, d, MONTHLY.train_start, MONTHLY.forecast_start), star.driver_monthly(spark, d), MONTHLY)
         sizes = framed.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("test_rows"))
         folds = F.explode(F.array(*[F.lit(f).cast("long") for f in range(trees.FOLDS)])).alias("fold")
         plan = trees.draw(spark, space, trees.DRAWS).select("*", folds).join(sizes, "fold")
@@ -90,7 +90,7 @@ FROM (SELECT *, CAST(floor(trees * 0.1) AS INTEGER) AS step FROM (
           FROM drawn))))))""", _drawn_sql(trees.BOOSTING_SPACE), PANEL))
 def t4(spark, d):
     """Neighbors of every drawn candidate of the full space; one gamma follows from the data."""
-    framed, _ = trees.panel(star.product_monthly(spark, d), star.driver_monthly(spark, d), MONTHLY)
+    framed, _ = trees.panel(star.product_monthly(spark, d, MONTHLY.train_start, MONTHLY.forecast_start), star.driver_monthly(spark, d), MONTHLY)
     mean = framed.agg(F.avg("y")).first()[0]
     grid = trees.refinement(trees.draw(spark, trees.BOOSTING_SPACE, trees.DRAWS), mean)
     return grid.withColumn("depth", F.coalesce("depth", F.lit(0))).withColumn("gamma", rounded(F.col("gamma"), 2))

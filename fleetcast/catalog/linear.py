@@ -49,8 +49,8 @@ _inputs = series_inputs
 
 
 def _train(spark, d, config=TWO):
-    rows, names = gram.design(star.product_monthly(spark, d), star.driver_monthly(spark, d), config)
-    return calendars.training(rows, config), names
+    product = star.product_monthly(spark, d, config.train_start, config.forecast_start)
+    return gram.design(product, star.driver_monthly(spark, d), config)
 
 
 # -- moments, scaling, folds, lags ------------------------------------------------------
@@ -71,7 +71,7 @@ def a25(spark, d):
 SELECT series_id, ROUND(AVG(y), 4) AS mean, ROUND(stddev_pop(y), 4) AS pop_std, ROUND(stddev_samp(y), 4) AS sample_std
 FROM product_monthly WHERE ds >= DATE '1996-01-01' AND ds < DATE '2000-07-01' GROUP BY 1"""))
 def a26(spark, d):
-    return calendars.training(star.product_monthly(spark, d), TWO).groupBy("series_id").agg(
+    return star.product_monthly(spark, d, TWO.train_start, TWO.forecast_start).groupBy("series_id").agg(
         rounded(F.avg("y")).alias("mean"), rounded(F.stddev_pop("y")).alias("pop_std"),
         rounded(F.stddev_samp("y")).alias("sample_std"))
 

@@ -32,7 +32,7 @@ def centered(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray,
 def squared_error(m: np.ndarray, b: np.ndarray, b0: np.ndarray) -> np.ndarray:
     """Sum of squared errors of many models ``(b0, b)`` on the rows behind ``m``."""
     r = np.column_stack([-b0, -b, np.ones(len(b0))])
-    return np.einsum("ai,ij,aj->a", r, m, r)
+    return ((r @ m) * r).sum(axis=1)
 
 
 def least_squares(m: np.ndarray) -> tuple[np.ndarray, float]:
@@ -130,17 +130,22 @@ def elastic_path(m: np.ndarray, alphas: np.ndarray, ratio: float) -> tuple[np.nd
             i += 1
             continue
         w, v = np.linalg.eigh(q_mat[np.ix_(act, act)])
-        weight = w + l2[i:, None]
-        weight = np.where(weight > 1e-13 * w.max(), weight, np.inf)
-        coef = (((q_vec[act] - l1[i:, None] * signs[act]) @ v) / weight) @ v.T
-        holds = (coef * signs[act] > 0).all(axis=1)
-        if len(rest):
-            grad = q_vec[rest] - coef @ q_mat[np.ix_(act, rest)]
-            holds &= (np.abs(grad) <= l1[i:, None] * (1 + 1e-9)).all(axis=1)
-        holds[0] = True
-        length = len(holds) if holds.all() else int(np.argmin(holds))
-        b[i:i + length, act] = coef[:length]
-        i += length
+        sign, target, start, size, whole = signs[act], q_vec[act], i, 32, True
+        # Growing blocks: a short stretch does not pay for the whole rest of the grid.
+        while whole and i < len(alphas):
+            a1, a2 = l1[i:i + size, None], l2[i:i + size, None]
+            weight = w + a2
+            weight = np.where(weight > 1e-13 * w[-1], weight, np.inf)
+            coef = (((target - a1 * sign) @ v) / weight) @ v.T
+            holds = (coef * sign > 0).all(axis=1)
+            if len(rest):
+                holds &= (np.abs(q_vec[rest] - coef @ q_mat[np.ix_(act, rest)]) <= a1 * (1 + 1e-9)).all(axis=1)
+            if i == start:
+                holds[0] = True
+            whole = bool(holds.all())
+            length = len(holds) if whole else int(np.argmin(holds))
+            b[i:i + length, act] = coef[:length]
+            i, size = i + length, size * 4
     return b, ym - b @ xm
 
 

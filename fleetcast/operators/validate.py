@@ -101,25 +101,38 @@ def gaps(product: DataFrame) -> DataFrame:
 
 
 def spacing_violations(product: DataFrame) -> DataFrame:
-    """First pair of dates whose distance does not fit the series' first gap."""
+    """First pair of dates whose distance does not fit the series' first gap.
+
+    Repeated dates count as a distance of zero. They are folded before the window, so a
+    series with any number of copies stays calendar-sized.
+    """
     w = ordered()
-    marked = gaps(product).withColumn("rn", F.row_number().over(w)).withColumn(
+    dates = product.groupBy("series_id", "ds").agg(F.count("*").alias("copies"))
+    marked = gaps(dates).withColumn("rn", F.row_number().over(w)).withColumn(
         "first_gap", F.max(F.when(F.col("rn") == 2, F.col("gap_days"))).over(Window.partitionBy("series_id")))
     fits = (
         F.when(F.col("first_gap").between(28, 31), F.col("gap_days").between(28, 31))
         .when(F.col("first_gap") == 1, F.col("gap_days") == 1)
         .otherwise(False)
     )
+    repeated = F.col("copies") > 1
+    pair = F.when(repeated, F.struct(F.col("ds").alias("prev_ds"), "ds", F.lit(0).cast("long").alias("gap_days"))).otherwise(
+        F.struct("prev_ds", "ds", "gap_days"))
     return (
-        marked.where((F.col("rn") >= 2) & ~fits)
+        marked.where(repeated | ((F.col("rn") >= 2) & ~fits))
         .groupBy("series_id")
-        .agg(F.count("*").alias("violations"),
-             F.min_by(F.struct("prev_ds", "ds", "gap_days"), "ds").alias("v"))
+        .agg(F.count("*").alias("violations"), F.min_by(pair, "ds").alias("v"))
         .select("series_id", "violations", F.col("v.prev_ds").alias("from_ds"),
                 F.col("v.ds").alias("to_ds"), F.col("v.gap_days").alias("gap_days"))
     )
 
 
+def repeated_dates(product: DataFrame) -> DataFrame:
+    """Series with more than one row for a date."""
+    copies = product.groupBy("series_id", "ds").agg(F.count("*").alias("copies")).where("copies > 1")
+    return copies.groupBy("series_id").agg(F.count("*").alias("repeated"))
+
+
 def snap_to_month(product: DataFrame) -> DataFrame:
     return product.withColumn("ds", F.trunc("ds", "MM"))
 

@@ -63,13 +63,15 @@ class ForecastRun:
 
     @cached_property
     def blocked(self) -> DataFrame:
-        """Series that cannot be forecast: gaps in the training window, or too short a history."""
+        """Series that cannot be forecast: repeated dates, gaps in the training window, too short a history."""
         c = self.config
+        copies = validate.repeated_dates(self._all_products)
         gaps = validate.blocked_series(calendars.aligned_calendar(self._all_products, c.granularity, c, "series_id", "y"))
         short = validate.history_check(self._all_products, c.granularity).where(~F.col("enough"))
         return materialize(
             gaps.select("series_id", F.lit("missing values in the training window").alias("reason")).unionByName(
-                short.select("series_id", F.lit("history too short").alias("reason"))), "blocked")
+                short.select("series_id", F.lit("history too short").alias("reason"))).unionByName(
+                copies.select("series_id", F.lit("repeated dates").alias("reason"))), "blocked")
 
     @cached_property
     def product(self) -> DataFrame:

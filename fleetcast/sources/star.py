@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetcast.session import fits_broadcast
@@ -26,9 +28,17 @@ def _amount():
     return (F.sum("cents") / F.lit(100.0)).alias("y")
 
 
-def product_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(series_id, ds, y)``: shipped value per brand and month."""
-    items = table(spark, sf_dir, "lineitem").select("l_partkey", _month("l_shipdate"), _cents("l_extendedprice"))
+def _within(df: DataFrame, column: str, since: date | None, until: date | None) -> DataFrame:
+    """Restrict raw timestamps, not derived months: the bounds reach the file scan."""
+    if since is not None:
+        df = df.where(F.col(column) >= F.lit(since).cast(df.schema[column].dataType))
+    return df if until is None else df.where(F.col(column) < F.lit(until).cast(df.schema[column].dataType))
+
+
+def product_monthly(spark: SparkSession, sf_dir: str, since: date | None = None, until: date | None = None) -> DataFrame:
+    """``(series_id, ds, y)``: shipped value per brand and month, of months in ``since <= ds < until``."""
+    items = _within(table(spark, sf_dir, "lineitem"), "l_shipdate", since, until).select(
+        "l_partkey", _month("l_shipdate"), _cents("l_extendedprice"))
     brands = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("series_id"))
     if not fits_broadcast(brands):
         # A dimension too large to broadcast is joined by shuffle: shrink every part
@@ -65,23 +75,29 @@ def product_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("series_id", "ds").agg(_amount())
 
 
-def product_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One series per brand and customer nation: the fleet used for benchmarks."""
+def product_fleet(spark: SparkSession, sf_dir: str, place: str = "nation") -> DataFrame:
+    """One series per brand and customer nation or region: the fleet used for benchmarks.
+
+    Items are summed per order, brand and month before the order join, so an order with
+    very many items is a few rows there; nations are attached to customers first, and the
+    large join is left to adaptive execution, which splits skewed partitions.
+    """
     items = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", _month("l_shipdate"), _cents("l_extendedprice")
-    )
+        "l_orderkey", "l_partkey", _month("l_shipdate"), _cents("l_extendedprice"))
     brands = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    located = (
-        orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("o_orderkey", "n_name")
-    )
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.col("n_name").alias("place"))
+    if place == "region":
+        regions = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("place"))
+        nations = nations.drop("place").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    places = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "place")
+    located = orders.join(places, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "place")
+    branded = items.join(brands, F.col("l_partkey") == F.col("p_partkey"))
+    if not fits_broadcast(located):
+        branded = branded.groupBy("l_orderkey", "p_brand", "ds").agg(F.sum("cents").alias("cents"))
     return (
-        items.join(brands, F.col("l_partkey") == F.col("p_partkey"))
-        .join(located, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.concat_ws("|", "p_brand", "n_name").alias("series_id"), "ds")
+        branded.join(located, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy(F.concat_ws("|", "p_brand", "place").alias("series_id"), "ds")
         .agg(_amount())
     )
