@@ -80,8 +80,10 @@ def _active_set(q_mat, q_vec, l1, l2, signs) -> np.ndarray:
         act = np.flatnonzero(signs)
         b = np.zeros(k)
         if len(act):
-            lhs = q_mat[np.ix_(act, act)] + l2 * np.eye(len(act))
-            b[act] = np.linalg.pinv(lhs, rcond=1e-13, hermitian=True) @ (q_vec[act] - l1 * signs[act])
+            lhs = q_mat[act][:, act]
+            # A trace-sized jitter keeps collinear drivers solvable.
+            lhs[np.diag_indices(len(act))] += l2 + 1e-13 * lhs.trace()
+            b[act] = np.linalg.solve(lhs, q_vec[act] - l1 * signs[act])
             wrong = b[act] * signs[act]
             if wrong.min() <= 0:
                 signs[act[int(np.argmin(wrong))]] = 0
@@ -129,7 +131,8 @@ def elastic_path(m: np.ndarray, alphas: np.ndarray, ratio: float) -> tuple[np.nd
         if len(act) == 0:
             i += 1
             continue
-        w, v = np.linalg.eigh(q_mat[np.ix_(act, act)])
+        w, v = np.linalg.eigh(q_mat[act][:, act])
+        inactive = q_mat[act][:, rest]
         sign, target, start, size, whole = signs[act], q_vec[act], i, 32, True
         # Growing blocks: a short stretch does not pay for the whole rest of the grid.
         while whole and i < len(alphas):
@@ -139,7 +142,7 @@ def elastic_path(m: np.ndarray, alphas: np.ndarray, ratio: float) -> tuple[np.nd
             coef = (((target - a1 * sign) @ v) / weight) @ v.T
             holds = (coef * sign > 0).all(axis=1)
             if len(rest):
-                holds &= (np.abs(q_vec[rest] - coef @ q_mat[np.ix_(act, rest)]) <= a1 * (1 + 1e-9)).all(axis=1)
+                holds &= (np.abs(q_vec[rest] - coef @ inactive) <= a1 * (1 + 1e-9)).all(axis=1)
             if i == start:
                 holds[0] = True
             whole = bool(holds.all())
