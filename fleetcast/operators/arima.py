@@ -205,12 +205,15 @@ def regression_frame(product: DataFrame, drivers: DataFrame | None, config: Fore
         return F.coalesce(F.get(values, F.lit(lag - 1)), F.lit(0.0))
 
     stage1 = framed.withColumn("past_w", past("w"))
-    gamma = F.expr("array(sum(w * w), " + ", ".join(
-        f"sum(w * coalesce(get(past_w, {j}), 0D))" for j in range(long_ar)) + ")")
-    ar = stage1.groupBy(*KEY).agg(gamma.alias("gamma")).select(*KEY, levinson(F.col("gamma")).alias("ar"))
+    # Sums over the series stay on its rows: no aggregation is joined back. Only the last
+    # training row turns them into coefficients.
+    products = {f"_g{j}": F.sum(F.col("w") * (at("past_w", j) if j else F.col("w"))).over(whole) for j in range(long_ar + 1)}
+    last = (F.col("kind") == "fit") & (F.col("rn") == F.col("n"))
+    solved = F.when(last, levinson(F.array(*[F.col(c) for c in products])))
+    fitted = stage1.withColumns(products).withColumn("ar", solved).drop(*products).withColumn("ar", F.max("ar").over(whole))
     predicted = F.aggregate(
         F.zip_with("ar", F.slice("past_w", 1, long_ar), lambda a, p: a * F.coalesce(p, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
-    stage2 = stage1.join(ar, KEY).withColumn("e", F.col("w") - predicted).withColumn("past_e", past("e"))
+    stage2 = fitted.withColumn("e", F.col("w") - predicted).withColumn("past_e", past("e"))
     features = F.array(
         F.lit(1.0), F.col("rn") / F.col("n"), *xs, *[at("past_w", j) for j in lags], *[at("past_e", j) for j in lags])
     return stage2.select(*KEY, "seasonal_d", "ds", "kind", "y", "w", "w_mean", "n", "rn", "e", features.alias("features"))

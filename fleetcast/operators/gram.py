@@ -39,23 +39,45 @@ def scaled(train: DataFrame, names: tuple[str, ...]) -> DataFrame:
     A constant driver keeps scale 1.
     """
     w = Window.partitionBy("series_id")
-    out = train
+    stats = {}
     for i, n in enumerate(names):
         sd = F.stddev_pop(F.col(f"`{n}`")).over(w)
-        out = out.withColumn(f"_m{i}", F.avg(F.col(f"`{n}`")).over(w)).withColumn(f"_s{i}", F.when(sd > 0, sd).otherwise(1.0))
+        stats |= {f"_m{i}": F.avg(F.col(f"`{n}`")).over(w), f"_s{i}": F.when(sd > 0, sd).otherwise(1.0)}
+    out = train.withColumns(stats)
     zs = [((F.col(f"`{n}`") - F.col(f"_m{i}")) / F.col(f"_s{i}")).alias(f"_z{i}") for i, n in enumerate(names)]
-    ks = range(len(names))
     return out.withColumn("_my", F.avg("y").over(w)).select(
-        "series_id", "ds", *zs, (F.col("y") - F.col("_my")).alias("_y"), "_my",
-        F.array(*[F.col(f"_m{i}") for i in ks]).alias("mean"), F.array(*[F.col(f"_s{i}") for i in ks]).alias("scale"))
+        "series_id", "ds", *zs, (F.col("y") - F.col("_my")).alias("_y"), *scale_names(len(names)))
 
 
-def moments(values: list[str]) -> Column:
-    """Upper triangle of the moment matrix of ``(1, *values)``, row by row, as one array.
+def scale_names(k: int) -> list[str]:
+    """Columns of :func:`scaled` that are constant within a series."""
+    return ["_my", *[f"_m{i}" for i in range(k)], *[f"_s{i}" for i in range(k)]]
+
+
+def scale_aggregates(k: int) -> list[Column]:
+    """Those constants through an aggregation; scalars keep it a hash aggregation."""
+    return [F.first(c).alias(c) for c in scale_names(k)]
+
+
+def scale_arrays(k: int) -> list[Column]:
+    """``y_mean``, and ``mean`` and ``scale`` as arrays over the drivers."""
+    return [F.col("_my").alias("y_mean"), F.array(*[F.col(f"_m{i}") for i in range(k)]).alias("mean"),
+            F.array(*[F.col(f"_s{i}") for i in range(k)]).alias("scale")]
+
 
-    ``values`` are SQL expressions: one parsed text instead of thousands of column calls.
+def moment_columns(values: list[str]) -> dict[str, Column]:
+    """Sums of the upper triangle of the moment matrix of ``(1, *values)``, row by row.
+
+    ``values`` are SQL expressions: parsed texts instead of thousands of column calls.
     """
     v = ["1D", *values]
+    pairs = [(i, j) for i in range(len(v)) for j in range(i, len(v))]
+    return {f"_p{n}": F.expr(f"sum({v[i]} * {v[j]}) AS _p{n}") for n, (i, j) in enumerate(pairs)}
+
+
+def moments(values: list[str]) -> Column:
+    """The same sums as one array."""
+    v = ["1D", *values]
     return F.expr("array(" + ", ".join(f"sum({v[i]} * {v[j]})" for i in range(len(v)) for j in range(i, len(v))) + ")")
 
 
@@ -78,9 +100,10 @@ def fold_moments(product: DataFrame, drivers: DataFrame, config: ForecastConfig)
     else:
         fold = contiguous_fold(k)
     values = [f"_z{i}" for i in range(len(names))] + ["_y"]
-    per_fold = frame.withColumn("fold", fold).groupBy("series_id", "fold").agg(
-        moments(values).alias("m"), F.first("_my").alias("y_mean"), F.first("mean").alias("mean"), F.first("scale").alias("scale"))
+    n = len(names)
+    sums = moment_columns(values)
+    per_fold = frame.withColumn("fold", fold).groupBy("series_id", "fold").agg(*sums.values(), *scale_aggregates(n))
     packed = per_fold.groupBy("series_id").agg(
-        F.first("y_mean").alias("y_mean"), F.first("mean").alias("mean"), F.first("scale").alias("scale"),
-        F.transform(F.array_sort(F.collect_list(F.struct("fold", "m"))), lambda f: f["m"]).alias("folds"))
-    return packed, names
+        F.collect_list(F.struct("fold", F.array(*sums).alias("m"))).alias("folds"), *scale_aggregates(n))
+    ordered = F.transform(F.array_sort("folds"), lambda f: f["m"]).alias("folds")
+    return packed.select("series_id", *scale_arrays(n), ordered), names

@@ -16,7 +16,7 @@ from fleetcast.config import ELASTIC_NET, LASSO, MLR, RIDGE, ForecastConfig
 from fleetcast.functions.scalars import zero_normalized
 from fleetcast.operators import solvers
 from fleetcast.operators.calendars import horizon_dates, training
-from fleetcast.operators.gram import design, fold_moments, moments, scaled
+from fleetcast.operators.gram import design, fold_moments, moments, scale_aggregates, scale_arrays, scaled
 from fleetcast.session import by_series
 
 # Penalty grid sizes and mix ratios.
@@ -132,8 +132,8 @@ def least_squares_stats(product: DataFrame, drivers: DataFrame, config: Forecast
     frame = scaled(by_series(training(rows, config)), names)
     k = len(names)
     values = [f"_z{i}" for i in range(k)] + ["_y"]
-    packed = frame.groupBy("series_id").agg(
-        moments(values).alias("m"), F.first("_my").alias("y_mean"), F.first("mean").alias("mean"), F.first("scale").alias("scale"))
+    sums = frame.groupBy("series_id").agg(moments(values).alias("m"), *scale_aggregates(k))
+    packed = sums.select("series_id", "m", *scale_arrays(k))
 
     def one(page: pd.Series) -> pd.DataFrame:
         m = solvers.unpack(page["m"])
