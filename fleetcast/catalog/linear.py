@@ -371,7 +371,7 @@ final AS ({best("""(SELECT k.series_id, k.alpha, k.ratio, k.mse, alpha * ratio A
 
 _PENALIZED_SELECT = """
 SELECT series_id, ROUND(alpha, 3) AS alpha, ROUND(ratio, 2) AS l1_ratio, ROUND(sqrt(mse), 3) AS cv_rmse, ROUND(best.b1 / sd1, 4) + 0.0 AS b1,
-       ROUND(best.b2 / sd2, 4) + 0.0 AS b2, ROUND(my - best.b1 / sd1 * m1 - best.b2 / sd2 * m2, 2) AS intercept FROM final"""
+       ROUND(best.b2 / sd2, 4) + 0.0 AS b2, ROUND((my - best.b1 / sd1 * m1 - best.b2 / sd2 * m2) / my, 8) AS intercept_share FROM final"""
 
 
 def _penalized(spark, d, method):
@@ -379,7 +379,7 @@ def _penalized(spark, d, method):
     return m.select(
         "series_id", rounded(F.col("alpha"), 3).alias("alpha"), F.coalesce("l1_ratio", F.lit(1.0)).alias("l1_ratio"),
         rounded(F.sqrt("cv_score"), 3).alias("cv_rmse"), rounded(F.get("raw_coef", F.lit(0))).alias("b1"),
-        rounded(F.get("raw_coef", F.lit(1))).alias("b2"), rounded(F.col("raw_intercept"), 2).alias("intercept"))
+        rounded(F.get("raw_coef", F.lit(1))).alias("b2"), rounded(F.col("raw_intercept") / F.col("y_mean"), 8).alias("intercept_share"))
 
 
 @query("r5_lasso", sql(_PENALIZED_SELECT, ROWS, STATS, _penalized_sql((1.0,))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetcast.catalog.accuracy import NAIVE, naive_forecast
 from fleetcast.catalog.base import DAILY, MONTHLY, daily_input, product_input, query, sql
 from fleetcast.functions.scalars import rounded
-from fleetcast.operators import metrics, smooth
+from fleetcast.operators import calendars, metrics, smooth
 from fleetcast.sources import star
 
 M = 12
@@ -102,8 +102,7 @@ SELECT series_id, COUNT(DISTINCT config_id) AS configurations, MIN(n) AS train_r
   WHERE ds >= DATE '1996-01-01' AND ds < DATE '2000-07-01' GROUP BY 1, 2) GROUP BY 1""", GRID))
 def j6(spark, d):
     """Configurations are generated per series row, after the rows of a series became one."""
-    from fleetcast.operators.calendars import training
-    sizes = training(star.product_monthly(spark, d), MONTHLY).groupBy("series_id").agg(F.count("*").alias("n"))
+    sizes = calendars.training(star.product_monthly(spark, d), MONTHLY).groupBy("series_id").agg(F.count("*").alias("n"))
     return smooth.with_configurations(sizes).groupBy("series_id").agg(
         F.count("config_id").alias("configurations"), F.min("n").alias("train_rows"))
 

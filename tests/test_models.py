@@ -11,7 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from fleetcast.config import ELASTIC_NET, LASSO, MLR, RIDGE, SARIMA, SARIMAX, ForecastConfig
-from fleetcast.operators import arima, explore, regress, smooth, solvers, stl
+from fleetcast.operators import arima, explore, regress, smooth, stl
 
 MONTHS = [d.date() for d in pd.date_range("2010-01-01", periods=96, freq="MS")]
 CONFIG = ForecastConfig(date(2010, 1, 1), date(2017, 1, 1), 12, "month", 12, drivers=("a", "b", "c"))
@@ -290,6 +290,3 @@ def test_multi_step_undo_of_differences():
     z = np.diff(np.diff(y[12:] - y[:-12]))
     assert np.allclose(w, z[-20:])
 
-
-def test_solver_helpers_are_importable():
-    assert solvers.t_two_sided(np.array([0.0]), 10)[0] == pytest.approx(1.0)

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 from fleetcast.catalog.base import MONTHLY, series_inputs
 from fleetcast.catalog.files import workbook_files
-from fleetcast.config import BOOSTING, HOLT_WINTERS, MLR, RANDOM_FOREST, SARIMA
-from fleetcast.operators import calendars, trees
+from fleetcast.config import BOOSTING, HOLT_WINTERS, METHODS, MLR, RANDOM_FOREST, SARIMA
+from fleetcast.operators import calendars, trees, validate
 from fleetcast.plans.registry import METHOD_FUNCTIONS
 from fleetcast.plans.run import ForecastRun
-from fleetcast.sources import sinks, workbook
-from fleetcast.config import METHODS
+from fleetcast.sources import sinks, star, workbook
 
 
 @pytest.fixture(scope="module")
@@ -115,6 +114,30 @@ def test_incomplete_horizon_is_refused(inputs):
         ForecastRun(product, drivers.where("ds < '2001-01-01'"), MONTHLY).drivers
 
 
+def test_series_with_repeated_dates_are_blocked(inputs):
+    product, drivers = inputs
+    twice = product.unionByName(product.where("series_id = 'Brand#16'"))
+    run = ForecastRun(twice, drivers, MONTHLY)
+    reasons = {(r.series_id, r.reason) for r in run.blocked.collect()}
+    assert ("Brand#16", "repeated dates") in reasons
+    assert run.product.where("series_id = 'Brand#16'").isEmpty()
+    assert validate.spacing_violations(twice).where("series_id = 'Brand#16' AND gap_days = 0").count() == 1
+
+
+def test_large_dimensions_take_the_shuffle_path(spark, folder):
+    """The same series without any broadcast join."""
+    want = [star.product_monthly(spark, folder).toPandas(), star.product_fleet(spark, folder).toPandas()]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [star.product_monthly(spark, folder).toPandas(), star.product_fleet(spark, folder).toPandas()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    for a, b in zip(want, got):
+        key = ["series_id", "ds"]
+        assert a.sort_values(key).reset_index(drop=True).equals(b.sort_values(key).reset_index(drop=True))
+
+
 def test_bad_settings_are_refused(inputs):
     with pytest.raises(ValueError, match="drivers"):
         ForecastRun(*inputs, replace(MONTHLY, drivers=("n_orders", "nothing")))
