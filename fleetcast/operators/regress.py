@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from fleetcast.config import ELASTIC_NET, LASSO, MLR, RIDGE, ForecastConfig
+from fleetcast.config import LASSO, MLR, RIDGE, ForecastConfig
 from fleetcast.functions.scalars import zero_normalized
 from fleetcast.operators import solvers
 from fleetcast.operators.calendars import horizon_dates, training

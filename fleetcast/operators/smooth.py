@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetcast.config import HOLT_WINTERS, ForecastConfig
 from fleetcast.functions.dates import add_periods
-from fleetcast.functions.scalars import box_cox, inverse_box_cox
+from fleetcast.functions.scalars import inverse_box_cox
 from fleetcast.operators.calendars import training
 from fleetcast.session import by_series, materialize
 

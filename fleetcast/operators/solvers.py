@@ -165,7 +165,6 @@ def elastic_cv(folds, alphas, ratios, k, walk_forward) -> tuple[np.ndarray, floa
         if error[i] < best[0]:
             best = (error[i], i, r)
     err, i, r = best
-    # The path up to the chosen penalty gives the warm active set for the full window.
     b, b0 = elastic_path(sum(folds), alphas[i:i + 1], ratios[r])
     return b[0], float(b0[0]), float(alphas[i]), float(ratios[r]), float(err / len(pairs))
 

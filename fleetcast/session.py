@@ -30,7 +30,7 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local
     master may fall back to a folder of this machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
