@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetcast.llm import exact, mixing, sharding
+from fleetcast.llm import exact, langid, mixing, sharding, toxicity
 from fleetcast.session import materialize, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucket(divisor: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+@query
+def op1_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket(3) == 1)
+    model = langid.fit(docs.filter("NOT held_out"))
+    return langid.identify(docs, model, ["doc_id", "held_out"])
+
+
 @query
 def op3_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes, by an even first map and its edited second version."""
@@ -57,3 +69,11 @@ ORACLES["op9_block_names"] = f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{exact.UPPER}', '{exact.LOWER}') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)"""
+
+
+@query
+def op10_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels of four fifths of them."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket(5) == 0)
+    net = toxicity.fit(docs.filter("NOT held_out"), table(spark, sf_dir, "labels").filter(bucket(5) != 0))
+    return toxicity.classify(docs, net, ["doc_id", "held_out"])
