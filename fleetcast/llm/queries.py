@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetcast.llm import exact, langid, mixing, sharding, toxicity
+from fleetcast.llm import exact, html, langid, mixing, pii, sharding, toxicity
 from fleetcast.session import materialize, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,19 @@ def op3_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("vslot").alias("virtual_slot"))
 
 
+@query
+def op5_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, plain and disguised."""
+    return pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query
+def op6_stretch_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, with weights learned from pages that mark their article."""
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.learn(pages), ["page_id", "url"])
+
+
 @query
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of every document, in the order of the mix: shares proportional to the square root of a source's bytes."""
