@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetcast.llm import exact, html, langid, mixing, pii, sharding, toxicity
+from fleetcast.llm import exact, html, jaccard, langid, mixing, pii, sharding, toxicity
 from fleetcast.session import materialize, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op1_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, ["doc_id", "held_out"])
 
 
+@query
+def op2_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of similar 4-word shingle sets."""
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op3_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes, by an even first map and its edited second version."""
