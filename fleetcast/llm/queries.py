@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetcast.llm import exact, html, jaccard, langid, mixing, pii, sharding, toxicity
+from fleetcast.llm import decontaminate, exact, html, jaccard, langid, mixing, pii, sharding, toxicity
 from fleetcast.session import materialize, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,13 @@ def op3_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("vslot").alias("virtual_slot"))
 
 
+@query
+def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or with other numbers, names and units."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "covered_words", "item_words", "kind")
+
+
 @query
 def op5_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, plain and disguised."""
