@@ -68,9 +68,10 @@ class Templates:
         number = (digits[ends] > digits[starts]) & digit[starts] | within(NUMBER_HASHES, self.value)
         capital = np.zeros(len(starts), bool)
         if len(starts):
-            second = np.minimum(starts + 1, len(raw) - 1)
             big = (raw >= 65) & (raw <= 90)
-            capital = (big[starts] & ~big[second] & (ends - starts > 1)) | wide[second] & (raw[starts] == 0xC3)
+            upper = np.concatenate([big[:-1] | wide[1:], big[-1:], np.zeros(2, bool)])  # a capital starts here
+            second = starts + 1 + (raw[starts] == 0xC3)
+            capital = upper[starts] & ~upper[second] & (ends > second)  # words in capitals only are no names
         bounds = np.searchsorted(starts, offsets)
         opening = np.zeros(len(starts), bool)
         opening[bounds[:-1][bounds[:-1] < len(starts)]] = True
