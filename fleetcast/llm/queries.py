@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetcast.llm import decontaminate, exact, html, jaccard, langid, mixing, pii, sharding, toxicity
+from fleetcast.llm import decontaminate, exact, html, jaccard, langid, mixing, pii, sharding, suffixes, toxicity
 from fleetcast.session import materialize, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,12 @@ def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.col("mix_rate").alias("rate"), F.col("mix_order").alias("position"))
 
 
+@query
+def op8_sampled_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat a smaller document, over at least 50 bytes."""
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document that stays of each group of equal texts."""
