@@ -7,9 +7,9 @@ the subsets with one shingle deleted are indexed too. How many segments a band g
 the number of sets in the band. A set with few empty segments leaves these out: the weights exceed H by a slack that
 the others make up for. Candidates are pruned by a bound on the difference and then compared exactly.
 
-Equal sets are one class before anything is joined. Candidates are taken in two rounds: each class with the first class of its
-index entries; then, within index entries that still hold several components, the pairs across components. So a group
-of near copies costs its size and not its square, and no link between components is lost.
+Equal sets are one class before anything is joined. Candidates come in rounds: each class with the first class of its
+index entries; then, within entries that still hold several components, each class with its nearest one of another component; at last all
+pairs across components. So a group of near copies costs its size and not its square, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ WORDS = 4
 PERCENT = 85
 SKETCH = 128
 BROADCAST_ROWS = 1_000_000  # ids of 16 bytes: a list of at most this many is sent to every task
+BLOCK = 4096  # classes of an entry that are compared at once
+NEAREST = 3  # the round in which all pairs that are left are compared; in earlier ones each class meets its nearest
 REMEMBERED = 1 << 18  # classes a task remembers, so that copies are indexed about once per task
 
 
@@ -247,6 +249,85 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     return materialize(both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "similar")
 
 
+def distinct_entries(shared: DataFrame) -> DataFrame:
+    """Without entries that hold the same classes as another one; families of near copies share most of their entries."""
+    held = shared.groupBy("entry").agg(F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"), F.count("*").alias("k"))
+    return materialize(shared.join(held.groupBy("x", "y", "k").agg(F.min("entry").alias("entry")).select("entry", "k"), "entry"), "distinct-entries")
+
+
+def crossing(shared: DataFrame, found: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Distinct pairs ``a < b`` of an entry's classes in different components that sizes and sketches do not rule out.
+
+    With ``nearest`` each class only gets its nearest one by sketch. Entries are compared inside tasks, block against block, so that
+    neither a task's rows nor what it emits grow with the square of an entry.
+    """
+    labelled = shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("entry", "cls", "k", F.coalesce("label", "cls").alias("label"))
+    labelled = materialize(labelled, "labelled")
+    open_entries = labelled.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("entry")
+    rows = labelled.join(open_entries, "entry").join(classes.select("cls", "n", "sketch"), "cls")
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    rows = rows.withColumn("mine", mine).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("entry", F.least("mine", "j").alias("i"), F.greatest("mine", "j").alias("j"), "mine", "cls", "label", "n", "sketch")
+
+    def compare(unit: list[tuple]) -> tuple[list[int], list[int]]:
+        i, j, mine, cls, label, n, sketch = unit
+        left, right = (np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0]))
+        out_a, out_b = [], []
+        for start in range(0, len(left), 16):
+            x = left[start:start + 16]
+            gap = np.abs(sketch[x][:, None, :] - sketch[right][None, :, :]).sum(2)
+            small, large = np.minimum(n[x][:, None], n[right][None, :]), np.maximum(n[x][:, None], n[right][None, :])
+            ok = (label[x][:, None] != label[right][None, :]) & (100 * small >= percent * large) & (gap * (100 + percent) <= (small + large) * (100 - percent))
+            if nearest:
+                best = np.where(ok, gap, 1 << 30).argmin(1)
+                hit = ok[np.arange(len(x)), best]
+                p, q = cls[x[hit]], cls[right[best[hit]]]
+            else:
+                r, c = np.nonzero(ok)
+                p, q = cls[x[r]], cls[right[c]]
+            out_a += np.minimum(p, q).tolist()
+            out_b += np.maximum(p, q).tolist()
+        return out_a, out_b
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            yield from flush(held, batch)
+        if held:
+            yield from emit(pa.Table.from_batches(held))
+
+    def flush(held: list[pa.RecordBatch], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not batch.num_rows:
+            return
+        key = [batch.column(k).to_numpy() for k in range(3)]
+        change = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
+        last = int(change[-1]) if len(change) else 0
+        if held and last == 0:
+            before = held[-1]
+            if any(before.column(k)[-1].as_py() != key[k][0] for k in range(3)):
+                yield from emit(pa.Table.from_batches(held))
+                held.clear()
+        if last:
+            yield from emit(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held.clear()
+        held.append(batch.slice(last))
+
+    def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cols = [table.column(k).to_numpy() for k in range(7)]
+        sketch = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        cuts = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
+        a, b = [], []
+        for lo, hi in zip([0, *cuts], [*cuts, len(cols[0])]):
+            p, q = compare([*[c[lo:hi] for c in cols[1:]], sketch[lo:hi]])
+            a += p
+            b += q
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j").mapInArrow(scan, "a long, b long").distinct()
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``(id, th, n_shingles, cls, component_id)`` per row, where ``th`` is ``xxhash64(text)``.
 
@@ -271,20 +352,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     index = Index(bands, by_band)
     group = W.partitionBy("entry")
     shared = indexed(docs, text_col, index, words, salt).select("entry", "cls", F.min("cls").over(group).alias("a"), F.max("cls").over(group).alias("z"))
-    shared = materialize(shared.filter("a <> z").select("entry", "cls", "a").distinct(), "shared-entries")
-    one_each = shared.filter("cls <> a").groupBy(F.col("cls").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(one_each, classes, docs, id_col, text_col, words, percent)
-    found = materialize(graph.components(links), "components")
-    # Entries that hold several components: all pairs across them are compared.
-    labelled = materialize(shared.select("entry", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("entry", "cls", F.coalesce("label", "cls").alias("label")), "labelled")
-    mixed_entries = labelled.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("entry")
-    open_rows = materialize(labelled.join(mixed_entries, "entry"), "open-entries")
-    cross = open_rows.select("entry", F.col("cls").alias("a"), F.col("label").alias("la")).join(open_rows.select("entry", F.col("cls").alias("b"), F.col("label").alias("lb")), "entry").filter("la <> lb AND a < b")
-    tried = one_each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-    if rest.head(1):
-        links = links.unionByName(verified(rest, classes, docs, id_col, text_col, words, percent))
-        found = materialize(graph.components(links), "components")
+    shared = distinct_entries(materialize(shared.filter("a <> z").select("entry", "cls").distinct(), "shared-entries"))
+    first = shared.groupBy("entry").agg(F.min("cls").alias("a"))
+    pairs = materialize(shared.join(first, "entry").filter("cls <> a").groupBy(F.col("cls").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
+    links, tried, found, step = None, None, None, 0
+    while pairs is not None:
+        similar = verified(pairs, classes, docs, id_col, text_col, words, percent)
+        links = similar if links is None else links.unionByName(similar)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = graph.components(links)
+        step += 1
+        pairs = None if step > NEAREST else materialize(
+            crossing(shared, found, classes, percent, nearest=step < NEAREST).join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
+        if pairs is not None and not pairs.head(1):
+            if step < NEAREST:  # every nearest pair has been compared: on to all the others
+                step = NEAREST
+                pairs = materialize(crossing(shared, found, classes, percent, nearest=False).join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
+            if not pairs.head(1):
+                pairs = None
     ids = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "id", F.coalesce("label", "cls").alias("label"))
     smallest = materialize(ids.groupBy("label").agg(F.min("id").alias("component_id")), "component-ids")
     of_class = materialize(materialize(ids.select("cls", "label"), "class-labels").join(smallest, "label").select("cls", "component_id"), "class-components")
