@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fleetcast.llm.texts import ASCII_LOWER, LETTER, SpanHash, buffers, mixed, pieces, runs
+from fleetcast.llm.texts import ASCII_LOWER, LETTER, SpanHash, buffers, mixed, pieces, runs, without
 from fleetcast.session import materialize
 
 WINDOW = 8  # canonical words
@@ -190,3 +190,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return found.groupBy("c.id", "c.th", "c.item").agg(best.alias("b")).select(
         F.col("id").alias(id_col), "th", F.col("item").alias(item_col), F.col("b.covered").alias("covered_words"), F.col("b.words").alias("item_words"),
         F.when(F.col("b.same"), "verbatim").otherwise("reparameterised").alias("kind"))
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item."""
+    return without(docs, contaminated(docs, items, id_col, text_col).select(F.col(id_col).alias("id"), "th"), id_col, text_col)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fleetcast.llm import graph
-from fleetcast.llm.texts import ASCII_LOWER, SPACE, SpanHash, buffers, mixed, pieces, runs
+from fleetcast.llm.texts import ASCII_LOWER, SPACE, SpanHash, buffers, mixed, pieces, runs, without
 from fleetcast.session import materialize
 
 WORDS = 4
@@ -329,7 +329,7 @@ def crossing(shared: DataFrame, found: DataFrame, classes: DataFrame, percent: i
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``(id, th, n_shingles, cls, component_id)`` per row, where ``th`` is ``xxhash64(text)``.
+    """``(id, th, n_shingles, component, component_id)`` per row, where ``th`` is ``xxhash64(text)`` and ``component`` tells components apart.
 
     Rows link when ``100 * common >= percent * union`` of their sets of distinct ``words``-word shingles; ``component_id`` is the smallest id that
     links reach. A text of fewer words is one shingle. NULL, empty and blank texts have no shingles and link with nothing. NULL ids are
@@ -372,6 +372,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
                 pairs = None
     ids = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "id", F.coalesce("label", "cls").alias("label"))
     smallest = materialize(ids.groupBy("label").agg(F.min("id").alias("component_id")), "component-ids")
-    of_class = materialize(materialize(ids.select("cls", "label"), "class-labels").join(smallest, "label").select("cls", "component_id"), "class-components")
+    of_class = materialize(materialize(ids.select("cls", "label"), "class-labels").join(smallest, "label").select("cls", F.col("label").alias("component"), "component_id"), "class-components")
     return rows.select("id", "th", "n", "cls").join(of_class, "cls", "left").select(
-        F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``docs``, with all their columns: of each component the row with the smallest id, NULL last; every row without shingles.
+
+    Of rows that repeat an id and a text one stays.
+    """
+    rows = materialize(join(docs, id_col, text_col, words, percent).withColumnRenamed(id_col, "id").filter("n_shingles > 0").select("id", "th", "component"), "joined")
+    stay = materialize(rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("th"))).alias("s")).select(
+        "component", F.col("s.id").alias("sid"), F.col("s.th").alias("sth")), "stay")
+    gone = rows.join(stay, "component").filter(~(F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")))).select("id", "th")
+    kept = without(docs, gone, id_col, text_col)
+    repeated = materialize(rows.groupBy("id", "th").count().filter("count > 1").select("id", "th"), "repeated")
+    if not repeated.head(1):
+        return kept
+    again = kept.join(repeated.select(F.col("id").alias("__id"), F.col("th").alias("__th")), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left_semi")
+    return without(kept, repeated, id_col, text_col).unionByName(again.dropDuplicates([id_col, text_col]))

@@ -47,11 +47,8 @@ def op3_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text) + sharding.ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         sharding.slot_of([F.col("doc_id"), F.col("text")]).alias("vslot")), "slots")
-    folder = scratch_folder(spark, "slot-map")
     sizes = materialize(sharding.slot_sizes(rows), "slot-sizes")
-    sharding.store_map(sharding.even_map(spark, 24), folder, 1)
-    sharding.store_map(sharding.edit_map(sharding.load_map(spark, folder), sizes, 24), folder, 2)
-    placed = sharding.assign(rows, sharding.load_map(spark, folder, 2), sizes, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    placed = sharding.assign(rows, sharding.balanced(sizes, 24, scratch_folder(spark, "slot-map")), sizes, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
                          F.col("vslot").alias("virtual_slot"))
 

@@ -73,6 +73,14 @@ def load_map(spark: SparkSession, folder: str, version: int | None = None) -> Da
     return spark.read.parquet(f"{folder}/version={wanted}")
 
 
+def balanced(sizes: DataFrame, shards: int, folder: str) -> DataFrame:
+    """Second version of a map for slots of the given sizes: an even first one, edited; both are stored in ``folder``."""
+    spark = sizes.sparkSession
+    store_map(even_map(spark, shards), folder, 1)
+    store_map(edit_map(load_map(spark, folder), sizes, shards), folder, 2)
+    return load_map(spark, folder, 2)
+
+
 def assign(rows: DataFrame, mapping: DataFrame, sizes: DataFrame, order: list[Column]) -> DataFrame:
     """Rows with their ``shard`` and ``slot``, the gapless place of a row in its shard.
 

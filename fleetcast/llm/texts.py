@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from fleetcast.session import materialize
+
 MULT = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -100,3 +102,13 @@ def bounded_sample(rows: DataFrame, label: str, per_label: int, key: str, seed:
     counts = rows.groupBy(label).agg(F.count("*").alias("label_n"))
     share = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) / F.lit(float(2**53))
     return rows.join(counts, label).filter(share < per_label / F.col("label_n")).drop("label_n")
+
+
+SENT_ROWS = 1_000_000  # rows of 16 bytes: a list of at most this many is sent to every task
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows named by ``gone``: ``id`` and ``th``, which is ``xxhash64(text)``. NULL ids are equal here."""
+    gone = materialize(gone.distinct().select(F.col("id").alias("__id"), F.col("th").alias("__th")), "gone")
+    small = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone
+    return docs.join(small, docs[id_col].eqNullSafe(small["__id"]) & (F.xxhash64(docs[text_col]) == small["__th"]), "left_anti")
