@@ -9,12 +9,13 @@ Every string of ``length`` bytes holds a sampled suffix start, chosen by its con
    a stretch that also stands in a smaller document is covered as a whole.
 3. Stretches that share a token but differ, at the edges of repeats, are read again and compared string by string.
 
-Stretches are compared by 112 bits of hash (64 of the leading token, 48 of the whole). Matches never cross documents.
+Stretches are compared by 104 bits of hash (64 of the leading token, 40 of the whole). Matches never cross documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ LENGTH, LEAD = 50, 24
 BUCKET_BYTES = 4 << 20  # text bytes whose suffixes make one bucket, about 8 MB
 SAMPLE_DOCS = 2000  # documents from which splitters are taken
 PART = 50_000  # edge stretches of one token that a task compares; a token with more is split by the hash of the strings
-BROADCAST_BYTES = 48 << 20  # of spans by document that are sent to every task; more are joined by document
-PACK = np.dtype([("u", "<u4"), ("p", "u1"), ("n", "u1")])  # an edge stretch: start, place of the token, length
+STRETCH_BYTES = 5
+PACK = np.dtype([("u", "<u4"), ("n", "u1")])  # a span: start and length
 
 
 class Sampled:
@@ -101,7 +102,7 @@ def _splitters(keyed: DataFrame, buckets: int, length: int, lead: int) -> np.nda
 
 
 def _suffixes(keyed: DataFrame, splitters: np.ndarray, length: int, lead: int) -> DataFrame:
-    """``(bucket, rows)``: packed suffixes by bucket, column by column: token, stretch hash (6 bytes), text, start, token place, length."""
+    """``(bucket, rows)``: packed suffixes by bucket, column by column: token, stretch hash, and compressed document, start and length."""
     values, times = np.unique(splitters, return_counts=True)
     ranges = {int(t): (int(np.searchsorted(splitters, t, "left")), int(np.searchsorted(splitters, t, "right"))) for t in values[times > 1]}
 
@@ -113,8 +114,8 @@ def _suffixes(keyed: DataFrame, splitters: np.ndarray, length: int, lead: int) -
                 for sub, base in _offsets(part):
                     s = Sampled(*buffers(sub.column(2)), length, lead)
                     start = buffers(sub.column(2))[1]
-                    found.append((s.token, s.stretch, s.text + base, s.u - start[s.text], s.p - s.u, s.e - s.u))
-                token, stretch, text, u, p, n = (np.concatenate(x) for x in zip(*found))
+                    found.append((s.token, s.stretch, s.text + base, s.u - start[s.text], s.e - s.u))
+                token, stretch, text, u, n = (np.concatenate(x) for x in zip(*found))
                 bucket = np.searchsorted(splitters, token, "right")
                 for t, (a, b) in ranges.items():  # a token with ranges of its own is dealt over them by document
                     mine = np.flatnonzero(token == np.uint64(t))
@@ -125,10 +126,8 @@ def _suffixes(keyed: DataFrame, splitters: np.ndarray, length: int, lead: int) -
                 for k in np.flatnonzero(np.diff(cuts)):
                     o = order[cuts[k]:cuts[k + 1]]
                     used, local = np.unique(text[o], return_inverse=True)
-                    columns = (token[o], ids[used], ths[used])
-                    planes = (stretch[o].view(np.uint8).reshape(-1, 8)[:, 2:].T, local.reshape(-1).astype(np.uint16).view(np.uint8).reshape(-1, 2).T,
-                              u[o].astype(np.uint32).view(np.uint8).reshape(-1, 4).T, p[o].astype(np.uint8), n[o].astype(np.uint8))
-                    blobs.append(np.array([len(o), len(used)], np.int64).tobytes() + b"".join(c.tobytes() for c in columns) + b"".join(np.ascontiguousarray(c).tobytes() for c in planes))
+                    small = zlib.compress(b"".join(map(planes, (ids[used], ths[used], np.diff(local.reshape(-1), prepend=0).astype(np.uint8), u[o].astype(np.uint32), n[o].astype(np.uint8)))), 1)
+                    blobs.append(np.array([len(o), len(used)]).tobytes() + token[o].tobytes() + planes(stretch[o])[:STRETCH_BYTES * len(o)] + small)
                     names.append(k)
                 if blobs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int32)), pa.array(blobs, pa.binary())], ["bucket", "rows"])
@@ -143,29 +142,34 @@ def _offsets(part: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
         base += sub.num_rows
 
 
+def planes(x: np.ndarray) -> bytes:
+    """First bytes of all values, then second bytes, and so on: high bytes compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
 def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     k, d = np.frombuffer(blob, np.int64, 2)
-    at = 16
+    token = np.frombuffer(blob, np.uint64, k, 16)
+    stretch = np.zeros((k, 8), np.uint8)
+    stretch[:, :STRETCH_BYTES] = np.frombuffer(blob, np.uint8, STRETCH_BYTES * k, 16 + 8 * k).reshape(-1, k).T
+    small, at = zlib.decompress(blob[16 + (8 + STRETCH_BYTES) * k:]), 0
 
-    def take(dtype, count, rows=1):
+    def take(kind: type, count: int) -> np.ndarray:
         nonlocal at
-        out = np.frombuffer(blob, np.uint8, np.dtype(dtype).itemsize * count * rows, at)
-        at += len(out)
+        size = np.dtype(kind).itemsize * count
+        out = np.ascontiguousarray(np.frombuffer(small, np.uint8, size, at).reshape(-1, count).T).view(kind).reshape(-1)
+        at += size
         return out
 
-    token, ids, ths = (take(np.uint64, k).view(np.uint64), take(np.int64, d).view(np.int64), take(np.int64, d).view(np.int64))
-    stretch = np.zeros((k, 8), np.uint8)
-    stretch[:, 2:] = take(np.uint8, k, 6).reshape(6, k).T
-    local = np.ascontiguousarray(take(np.uint8, k, 2).reshape(2, k).T).view(np.uint16)[:, 0]
-    u = np.ascontiguousarray(take(np.uint8, k, 4).reshape(4, k).T).view(np.uint32)[:, 0]
-    return token, stretch.view(np.uint64)[:, 0], ids[local], ths[local], u, take(np.uint8, k), take(np.uint8, k)
+    ids, ths, local, u, n = take(np.int64, d), take(np.int64, d), np.cumsum(take(np.uint8, k)), take(np.uint32, k), take(np.uint8, k)
+    return token, stretch.view(np.uint64)[:, 0], ids[local], ths[local], u, n
 
 
 def _compared(bucketed: DataFrame, several: set[int]) -> DataFrame:
     """Neighbour comparison of sorted buckets: ``(kind, id, th, at, token, stretch)``.
 
     Kinds: 0 covered stretch; 1 stretch that shares its token with a different one of another document; 2 suffix of a token of several buckets,
-    for which the comparison goes across boundaries. ``at`` packs start, token place and length.
+    for which the comparison goes across boundaries. ``at`` packs start and length.
     """
     split = np.array(sorted(several), np.uint64)
 
@@ -173,11 +177,11 @@ def _compared(bucketed: DataFrame, several: set[int]) -> DataFrame:
         blobs = [b.as_py() for batch in batches for b in batch.column(1)]
         if not blobs:
             return
-        token, stretch, doc, th, u, p, n = (np.concatenate(x) for x in zip(*map(_unpacked, blobs)))
+        token, stretch, doc, th, u, n = (np.concatenate(x) for x in zip(*map(_unpacked, blobs)))
         del blobs
         apart = np.isin(token, split)
         order = multikey_order(token, stretch, doc)
-        token, stretch, doc, th, u, p, n, apart = (x[order] for x in (token, stretch, doc, th, u, p, n, apart))
+        token, stretch, doc, th, u, n, apart = (x[order] for x in (token, stretch, doc, th, u, n, apart))
         new_token = np.append(True, token[1:] != token[:-1])
         new = new_token | np.append(True, stretch[1:] != stretch[:-1])
         smallest = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -189,7 +193,7 @@ def _compared(bucketed: DataFrame, several: set[int]) -> DataFrame:
         edge = ~covered & (low != high)[group]
         kind = np.where(apart, 2, np.where(covered, 0, np.where(edge, 1, -1)))
         rows = np.flatnonzero(kind >= 0)
-        at = u.astype(np.int64) << 16 | p.astype(np.int64) << 8 | n
+        at = u.astype(np.int64) << 8 | n
         for i in range(0, len(rows), 1 << 17):
             r = rows[i:i + (1 << 17)]
             yield pa.RecordBatch.from_arrays(
@@ -200,9 +204,6 @@ def _compared(bucketed: DataFrame, several: set[int]) -> DataFrame:
 
 
 def _with_spans(keyed: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """Documents with their packed spans: sent to all tasks while their bytes have a small bound, else joined by document."""
-    size = spans.agg(F.sum(F.octet_length("spans") + 40)).first()[0] or 0
-    spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
     return keyed.join(spans.withColumnRenamed("id", "sid").withColumnRenamed("th", "sth"), (F.col("id") == F.col("sid")) & (F.col("th") == F.col("sth")), how)
 
 
@@ -216,7 +217,7 @@ def _packed(rows: DataFrame) -> DataFrame:
             for x in batch.column(2):
                 at = np.sort(np.array(x.values.to_numpy(), np.int64))
                 block = np.zeros(len(at), PACK)
-                block["u"], block["p"], block["n"] = at >> 16, at >> 8 & 255, at & 255
+                block["u"], block["n"] = at >> 8, at & 255
                 out.append(block.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "th", "spans"])
 
@@ -236,11 +237,13 @@ def _edges(keyed: DataFrame, flagged: DataFrame, length: int, lead: int) -> Data
                 row = np.repeat(np.arange(len(spans)), count)
                 s = np.concatenate(spans)
                 u = s["u"].astype(np.int64) + offsets[row]
-                p = u + s["p"]
-                token = SpanHash(data).of(p, p + lead)
+                hashes, n = SpanHash(data), s["n"].astype(np.int64) - lead + 1
+                inner = np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(u, n) + np.arange(len(inner)) - inner
+                token = np.minimum.reduceat(hashes.of(at, at + lead), np.cumsum(n) - n)  # the stretch's smallest hash, by which it was chosen
                 raw = data.tobytes()
                 owner = pa.array(row)
-                at = s["u"].astype(np.int64) << 16 | s["p"].astype(np.int64) << 8 | s["n"]
+                at = s["u"].astype(np.int64) << 8 | s["n"]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(owner), part.column(1).take(owner), pa.array(token.view(np.int64)), pa.array(at),
                      pa.array([raw[a:a + k] for a, k in zip(u.tolist(), s["n"].tolist())], pa.binary())], ["id", "th", "token", "at", "bytes"])
@@ -291,9 +294,9 @@ def _edges(keyed: DataFrame, flagged: DataFrame, length: int, lead: int) -> Data
             start = np.append(True, (row[1:] != row[:-1]) | (inside[1:] != inside[:-1] + 1))
             f = np.flatnonzero(start)
             last = np.append(f[1:], len(row)) - 1
-            u = (at[row[f]] >> 16) + inside[f]
+            u = (at[row[f]] >> 8) + inside[f]
             n = inside[last] - inside[f] + length
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row[f]]), pa.array(th[row[f]]), pa.array(u << 16 | n)], ["id", "th", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row[f]]), pa.array(th[row[f]]), pa.array(u << 8 | n)], ["id", "th", "at"])
 
     return (dealt.select("token", "part", "parts", "id", "th", "at", "bytes").repartition("token", "part").sortWithinPartitions("token", "part")
             .mapInArrow(match, "id long, th long, at long"))
@@ -305,7 +308,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller id, judged on the input. NULL text is empty.
     Rows that repeat an id do not count as smaller than each other; a row with a NULL id is kept whole and removes nothing. Ids are integers.
     """
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Texts are told apart by their hash only where an id has several; else a constant takes its place, which packs to nothing.
+    alike = named.groupBy("id").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).filter("id IS NOT NULL AND lo <> hi")
+    keyed = named if alike.head(1) else named.withColumn("th", F.lit(0).cast("long"))
     usable = keyed.filter(f"id IS NOT NULL AND octet_length(text) >= {length}")
     size = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
