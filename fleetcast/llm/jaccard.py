@@ -8,7 +8,7 @@ the number of sets in the band. A set with few empty segments leaves these out:
 the others make up for. Candidates are pruned by a bound on the difference and then compared exactly.
 
 Equal sets are one class before anything is joined. Candidates come in rounds: each class with the first class of its
-index entries; then, within entries that still hold several components, each class with its nearest one of another component; at last all
+index entries; then, within entries that still hold several components, each class with one of another component; at last all
 pairs across components. So a group of near copies costs its size and not its square, and no link between components is lost.
 """
 
@@ -29,7 +29,7 @@ PERCENT = 85
 SKETCH = 128
 BROADCAST_ROWS = 1_000_000  # ids of 16 bytes: a list of at most this many is sent to every task
 BLOCK = 4096  # classes of an entry that are compared at once
-NEAREST = 3  # the round in which all pairs that are left are compared; in earlier ones each class meets its nearest
+ROUNDS = 2  # in which each index row meets one of another component, before all pairs that are left are compared
 REMEMBERED = 1 << 18  # classes a task remembers, so that copies are indexed about once per task
 
 
@@ -212,8 +212,11 @@ def indexed(docs: DataFrame, text_col: str, index: Index, words: int, salt: int)
     return docs.select(F.col(text_col).alias("text")).mapInArrow(scan, "entry long, cls long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Those ``(a, b)`` of the distinct class pairs whose shingle sets are similar; first by sketch, then by their texts."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, repeated: bool) -> DataFrame:
+    """Those ``(a, b)`` of the distinct class pairs whose shingle sets are similar; first by sketch, then by their texts.
+
+    ``repeated`` says that rows repeat an id and a text, so that a class may find its text several times.
+    """
     def side(name: str) -> DataFrame:
         return classes.select(F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
 
@@ -232,7 +235,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     need = materialize(kept.select(F.col("a").alias("cls")).union(kept.select("b")).distinct().join(classes.select("cls", "first"), "cls").select("cls", F.col("first.id").alias("id"), F.col("first.th").alias("th")), "need")
     need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    texts = materialize(named.join(need, named["th"].eqNullSafe(need["th"]) & named["id"].eqNullSafe(need["id"])).select("cls", "text").dropDuplicates(["cls"]), "texts")
+    texts = named.join(need, named["th"].eqNullSafe(need["th"]) & named["id"].eqNullSafe(need["id"])).select("cls", "text")
+    texts = materialize(texts.dropDuplicates(["cls"]) if repeated else texts, "texts")
     both = kept.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,14 +259,25 @@ def distinct_entries(shared: DataFrame) -> DataFrame:
     return materialize(shared.join(held.groupBy("x", "y", "k").agg(F.min("entry").alias("entry")).select("entry", "k"), "entry"), "distinct-entries")
 
 
-def crossing(shared: DataFrame, found: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def with_labels(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Index rows with the component of their class so far."""
+    rows = shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("entry", "cls", "k", F.coalesce("label", "cls").alias("label"))
+    return materialize(rows, "labelled")
+
+
+def across(labelled: DataFrame) -> DataFrame:
+    """Pairs ``a < b``, one per index row: a class and one of another component, where its entry has any."""
+    ends = labelled.groupBy("entry").agg(F.min(F.struct("label", "cls")).alias("lo"), F.max(F.struct("label", "cls")).alias("hi")).filter("lo.label <> hi.label")
+    other = F.when(F.col("label") == F.col("lo.label"), F.col("hi.cls")).otherwise(F.col("lo.cls"))
+    met = labelled.join(ends, "entry").select("cls", other.alias("other"))
+    return met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+
+
+def crossing(labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs ``a < b`` of an entry's classes in different components that sizes and sketches do not rule out.
 
-    With ``nearest`` each class only gets its nearest one by sketch. Entries are compared inside tasks, block against block, so that
-    neither a task's rows nor what it emits grow with the square of an entry.
+    Entries are compared inside tasks, block against block, so that a task's rows do not grow with the square of an entry.
     """
-    labelled = shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("entry", "cls", "k", F.coalesce("label", "cls").alias("label"))
-    labelled = materialize(labelled, "labelled")
     open_entries = labelled.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("entry")
     rows = labelled.join(open_entries, "entry").join(classes.select("cls", "n", "sketch"), "cls")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
@@ -279,13 +294,8 @@ def crossing(shared: DataFrame, found: DataFrame, classes: DataFrame, percent: i
             gap = np.abs(sketch[x][:, None, :] - sketch[right][None, :, :]).sum(2)
             small, large = np.minimum(n[x][:, None], n[right][None, :]), np.maximum(n[x][:, None], n[right][None, :])
             ok = (label[x][:, None] != label[right][None, :]) & (100 * small >= percent * large) & (gap * (100 + percent) <= (small + large) * (100 - percent))
-            if nearest:
-                best = np.where(ok, gap, 1 << 30).argmin(1)
-                hit = ok[np.arange(len(x)), best]
-                p, q = cls[x[hit]], cls[right[best[hit]]]
-            else:
-                r, c = np.nonzero(ok)
-                p, q = cls[x[r]], cls[right[c]]
+            r, c = np.nonzero(ok)
+            p, q = cls[x[r]], cls[right[c]]
             out_a += np.minimum(p, q).tolist()
             out_b += np.maximum(p, q).tolist()
         return out_a, out_b
@@ -355,21 +365,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     shared = distinct_entries(materialize(shared.filter("a <> z").select("entry", "cls").distinct(), "shared-entries"))
     first = shared.groupBy("entry").agg(F.min("cls").alias("a"))
     pairs = materialize(shared.join(first, "entry").filter("cls <> a").groupBy(F.col("cls").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
-    links, tried, found, step = None, None, None, 0
-    while pairs is not None:
-        similar = verified(pairs, classes, docs, id_col, text_col, words, percent)
-        links = similar if links is None else links.unionByName(similar)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    repeated = bool(filled.groupBy("id", "th").count().filter("count > 1").head(1))
+    links, tried = None, None
+    for step in range(ROUNDS + 2):
+        if pairs.head(1):
+            similar = verified(pairs, classes, docs, id_col, text_col, words, percent, repeated)
+            links = similar if links is None else links.unionByName(similar)
+            tried = pairs if tried is None else tried.unionByName(pairs)
+        elif links is None:
+            links = tried = pairs
         found = graph.components(links)
-        step += 1
-        pairs = None if step > NEAREST else materialize(
-            crossing(shared, found, classes, percent, nearest=step < NEAREST).join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
-        if pairs is not None and not pairs.head(1):
-            if step < NEAREST:  # every nearest pair has been compared: on to all the others
-                step = NEAREST
-                pairs = materialize(crossing(shared, found, classes, percent, nearest=False).join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
-            if not pairs.head(1):
-                pairs = None
+        if step <= ROUNDS:
+            labelled = with_labels(shared, found)
+            pairs = across(labelled) if step < ROUNDS else crossing(labelled, classes, percent)
+            pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
     ids = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "id", F.coalesce("label", "cls").alias("label"))
     smallest = materialize(ids.groupBy("label").agg(F.min("id").alias("component_id")), "component-ids")
     of_class = materialize(materialize(ids.select("cls", "label"), "class-labels").join(smallest, "label").select("cls", F.col("label").alias("component"), "component_id"), "class-components")
