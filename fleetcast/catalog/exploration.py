@@ -209,13 +209,11 @@ def f_soft_threshold(spark, d):
 
 @query("f_strings", sql("""
 SELECT p_brand, p_brand || '(t-' || p_size || ')' AS lag_name, contains(p_type, 'ECON') AS economy,
-       string_agg(DISTINCT p_name, ', ' ORDER BY p_name) AS names FROM part GROUP BY 1, 2, 3"""))
+       array_to_string(list_sort(string_split(p_name, ' ')), ', ') AS words FROM part"""))
 def f_strings(spark, d):
-    part = star.table(spark, d, "part")
-    return part.groupBy(
-        "p_brand", F.concat("p_brand", F.lit("(t-"), "p_size", F.lit(")")).alias("lag_name"),
-        F.col("p_type").contains("ECON").alias("economy"),
-    ).agg(F.array_join(F.array_sort(F.collect_set("p_name")), ", ").alias("names"))
+    return star.table(spark, d, "part").select(
+        "p_brand", F.concat("p_brand", F.lit("(t-"), "p_size", F.lit(")")).alias("lag_name"), F.col("p_type").contains("ECON").alias("economy"),
+        F.array_join(F.array_sort(F.split("p_name", " ")), ", ").alias("words"))
 
 
 @query("f_arrays", sql("""

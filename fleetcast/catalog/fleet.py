@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetcast.catalog.base import MONTHLY, query, sql
+from fleetcast.catalog.base import MONTHLY, MONTHLY_SPAN, query, sql
 from fleetcast.catalog.exploration import _ROUND_PARTS, _parts_sql, _shown
 from fleetcast.catalog.linear import FUTURE, OLS, ROWS, STATS, TWO
 from fleetcast.config import ELASTIC_NET, MLR, RIDGE
@@ -14,17 +14,32 @@ from fleetcast.session import materialize
 from fleetcast.sources import star
 
 FLEET_ROWS = ROWS.replace("FROM product_monthly p", "FROM product_fleet p")
-# Two observations per coefficient and some spread are needed for a comparable solution.
+# Two observations per coefficient and some spread are needed for a comparable solution; other series are reported without one.
 DENSE = 24
+STATUS_SQL = f"CASE WHEN n >= {DENSE} THEN 'solved' ELSE 'fewer than {DENSE} training rows' END"
+SIZES = """
+sizes AS (
+  SELECT series_id, COUNT(*) FILTER (WHERE ds >= DATE '1996-01-01' AND ds < DATE '2000-07-01') AS n FROM product_fleet
+  WHERE ds >= DATE '1996-01-01' AND ds < DATE '2001-07-01' GROUP BY 1)"""
+
+
+def _status():
+    return F.when(F.col("n") >= DENSE, "solved").otherwise(f"fewer than {DENSE} training rows").alias("status")
+
+
+def _sizes(product):
+    """Training rows of every series of the fleet, also of those without any."""
+    inside = F.col("ds") < F.lit(TWO.forecast_start)
+    return product.groupBy("series_id").agg(F.count_if(inside).alias("n"))
 
 
 def _inputs(spark, d):
-    return materialize(star.product_fleet(spark, d), "fleet"), materialize(star.driver_monthly(spark, d), "drivers")
+    return materialize(star.product_fleet(spark, d, "nation", *MONTHLY_SPAN), "fleet"), materialize(star.driver_monthly(spark, d, *MONTHLY_SPAN), "drivers")
 
 
 def _regions(spark, d):
     """One series per brand and region: dense enough to have complete windows on small tables."""
-    return materialize(star.product_fleet(spark, d, "region"), "regions")
+    return materialize(star.product_fleet(spark, d, "region", *MONTHLY_SPAN), "regions")
 
 
 @query("s4_product_fleet", sql("SELECT series_id, ds, y FROM product_fleet"))
@@ -47,26 +62,33 @@ def d1_fleet(spark, d):
 
 
 @query("r1_mlr_fleet", sql("""
-SELECT o.series_id, n, ROUND(b1, 3) + 0.0 AS b1, ROUND(b2, 3) + 0.0 AS b2, ROUND(b0, 1) + 0.0 AS intercept
-FROM ols o WHERE n >= 24""", FLEET_ROWS, STATS, OLS))
+SELECT s.series_id, s.n, CASE WHEN s.n >= 24 THEN ROUND(b1, 3) + 0.0 END AS b1, CASE WHEN s.n >= 24 THEN ROUND(b2, 3) + 0.0 END AS b2,
+       CASE WHEN s.n >= 24 THEN ROUND(b0, 1) + 0.0 END AS intercept, """ + STATUS_SQL.replace("n >=", "s.n >=") + """ AS status
+FROM sizes s LEFT JOIN ols o ON o.series_id = s.series_id""", FLEET_ROWS, STATS, OLS, SIZES))
 def r1_fleet(spark, d):
     product, drivers = _inputs(spark, d)
-    sizes = calendars.training(product, TWO).groupBy("series_id").agg(F.count("*").alias("n")).where(F.col("n") >= DENSE)
-    m = regress.unscaled(regress.fit_linear(product, drivers, TWO, MLR)).join(sizes, "series_id")
-    return m.select("series_id", "n", rounded(F.get("raw_coef", F.lit(0)), 3).alias("b1"),
-                    rounded(F.get("raw_coef", F.lit(1)), 3).alias("b2"), rounded(F.col("raw_intercept"), 1).alias("intercept"))
+    m = _sizes(product).join(regress.unscaled(regress.fit_linear(product, drivers, TWO, MLR)), "series_id", "left")
+
+    def solved(value):
+        return F.when(F.col("n") >= DENSE, value)
+
+    return m.select("series_id", "n", solved(rounded(F.get("raw_coef", F.lit(0)), 3)).alias("b1"),
+                    solved(rounded(F.get("raw_coef", F.lit(1)), 3)).alias("b2"), solved(rounded(F.col("raw_intercept"), 1)).alias("intercept"), _status())
 
 
 @query("a01_mae_fleet", sql("""
-SELECT o.series_id, COUNT(*) AS periods, ROUND(AVG(abs(b0 + b1 * x1 + b2 * x2 - p.y)), 2) AS mae
-FROM ols o JOIN product_fleet p ON o.series_id = p.series_id JOIN future f ON f.ds = p.ds WHERE n >= 24 GROUP BY 1""",
-                             FLEET_ROWS, STATS, OLS, FUTURE))
+SELECT s.series_id, COUNT(f.ds) AS periods, CASE WHEN s.n >= 24 THEN ROUND(AVG(abs(b0 + b1 * x1 + b2 * x2 - p.y)), 2) END AS mae, """
+                             + STATUS_SQL.replace("n >=", "s.n >=") + """ AS status
+FROM sizes s LEFT JOIN ols o ON o.series_id = s.series_id
+LEFT JOIN (product_fleet p JOIN future f ON f.ds = p.ds) ON p.series_id = s.series_id GROUP BY s.series_id, s.n""",
+                             FLEET_ROWS, STATS, OLS, FUTURE, SIZES))
 def a01_fleet(spark, d):
     product, drivers = _inputs(spark, d)
-    sizes = calendars.training(product, TWO).groupBy("series_id").agg(F.count("*").alias("n")).where(F.col("n") >= DENSE)
-    forecast = regress.forecast_linear(product, drivers, TWO, MLR).where("kind = 'pred'").join(sizes, "series_id", "left_semi")
-    return forecast.join(product, ["series_id", "ds"]).groupBy("series_id").agg(
+    forecast = regress.forecast_linear(product, drivers, TWO, MLR).where("kind = 'pred'")
+    scored = product.where(F.col("ds") >= F.lit(TWO.forecast_start)).join(forecast.select("series_id", "ds", "yhat"), ["series_id", "ds"], "left").groupBy("series_id").agg(
         F.count("*").alias("periods"), rounded(F.avg(F.abs(metrics.error())), 2).alias("mae"))
+    return _sizes(product).join(scored, "series_id", "left").select(
+        "series_id", F.coalesce("periods", F.lit(0)).alias("periods"), F.when(F.col("n") >= DENSE, F.col("mae")).alias("mae"), _status())
 
 
 @query("r3_ridge_fleet")

@@ -154,11 +154,12 @@ def v05(spark, d):
     return raw_long(spark, d).select("series_id", "date_text", dates.parse_day_first(F.col("date_text")).alias("ds"))
 
 
-@query("v06_cast_double", sql("SELECT series_id, ds, CAST(y_text AS DOUBLE) AS y FROM raw_long "
-                              "WHERE y_text NOT IN ('broken', 'NaN', '-0.0')", RAW))
+@query("v06_cast_double", sql("""
+SELECT series_id, ds, TRY_CAST(NULLIF(y_text, 'NaN') AS DOUBLE) AS y, TRY_CAST(NULLIF(y_text, 'NaN') AS DOUBLE) IS NULL AS lost
+FROM raw_long""", RAW))
 def v06(spark, d):
-    return raw_long(spark, d).where(~F.col("y_text").isin("broken", "NaN", "-0.0")).select(
-        "series_id", "ds", validate.to_number(F.col("y_text")).alias("y"))
+    number = validate.number_text(F.col("y_text")).try_cast("double")
+    return raw_long(spark, d).select("series_id", "ds", number.alias("y"), number.isNull().alias("lost"))
 
 
 @query("v07_zero_normalized", sql("""
@@ -324,12 +325,16 @@ def v20(spark, d):
 
 
 def scenarios(spark, d):
-    """User scenarios over the horizon: five percent more, and one filled with zeros."""
+    """User scenarios over the horizon: five percent more, one filled with zeros, one for the year before, one with a date twice."""
     actual = calendars.horizon_rows(star.product_monthly(spark, d), MONTHLY)
-    return actual.select("series_id", "ds", F.explode(F.array(
-        F.struct(F.lit("plus five").alias("scenario"), (F.col("y") * 1.05).alias("yhat")),
-        F.struct(F.lit("empty").alias("scenario"), (F.col("y") * 0).alias("yhat")))).alias("s")
-    ).select("series_id", "ds", "s.scenario", "s.yhat")
+
+    def values(name, factor, ds=F.col("ds")):
+        return F.struct(F.lit(name).alias("scenario"), ds.alias("ds"), (F.col("y") * factor).alias("yhat"))
+
+    twice = F.when(F.col("ds") == "2000-08-01", F.lit("2000-07-01").cast("date")).otherwise(F.col("ds"))
+    return actual.select("series_id", F.explode(F.array(
+        values("plus five", 1.05), values("empty", 0), values("last year", 1.05, F.add_months("ds", -12)), values("twice", 1.05, twice))).alias("s")
+    ).select("series_id", "s.ds", "s.scenario", "s.yhat")
 
 
 HORIZON = """
@@ -340,15 +345,19 @@ horizon AS (
 SCENARIO = """
 scenario AS (
   SELECT series_id, ds, 'plus five' AS scenario, y * CAST(1.05 AS DOUBLE) AS yhat FROM horizon
-  UNION ALL SELECT series_id, ds, 'empty', y * 0 FROM horizon)"""
+  UNION ALL SELECT series_id, ds, 'empty', y * 0 FROM horizon
+  UNION ALL SELECT series_id, CAST(ds - INTERVAL 12 MONTH AS DATE), 'last year', y * CAST(1.05 AS DOUBLE) FROM horizon
+  UNION ALL SELECT series_id, CASE WHEN ds = DATE '2000-08-01' THEN DATE '2000-07-01' ELSE ds END, 'twice', y * CAST(1.05 AS DOUBLE) FROM horizon)"""
 
 
 @query("v21_scenario_check", sql("""
 SELECT series_id, scenario, COUNT(*) AS rows, COUNT(*) FILTER (WHERE yhat IS NULL OR yhat = 0) AS bad_rows,
-       COUNT(*) = 12 AND COUNT(*) FILTER (WHERE yhat IS NULL OR yhat = 0) = 0 AS accepted
+       COUNT(DISTINCT ds) FILTER (WHERE ds >= DATE '2000-07-01' AND ds < DATE '2001-07-01') AS horizon_dates,
+       COUNT(*) = 12 AND COUNT(*) FILTER (WHERE yhat IS NULL OR yhat = 0) = 0
+         AND COUNT(DISTINCT ds) FILTER (WHERE ds >= DATE '2000-07-01' AND ds < DATE '2001-07-01') = 12 AS accepted
 FROM scenario GROUP BY 1, 2""", HORIZON, SCENARIO))
 def v21(spark, d):
-    return validate.scenario_check(scenarios(spark, d), MONTHLY.horizon)
+    return validate.scenario_check(scenarios(spark, d), MONTHLY)
 
 
 @query("v22_run_name", """

@@ -9,14 +9,14 @@ from fleetcast.functions.dates import add_periods, period_sequence
 
 
 def complete_calendar(product: DataFrame, gran: str, key: str = "series_id", value: str = "y") -> DataFrame:
-    """Every period between first and last date of a key; gaps become NULL values.
+    """Every period between first and last date of a key; gaps become NULL values, repeated dates stay repeated.
 
     One pass: the span is a window over the same key as the fill, and the gap in front of
     each row is generated by the row itself, so no calendar is joined back.
     """
     nxt = F.lead("ds").over(Window.partitionBy(key).orderBy("ds"))
     last_missing = add_periods(F.col("next_ds"), F.lit(-1), gran)
-    dates = F.when(F.col("next_ds").isNull(), F.array("ds")).otherwise(
+    dates = F.when(F.col("next_ds").isNull() | (F.col("next_ds") <= F.col("ds")), F.array("ds")).otherwise(
         period_sequence(F.col("ds"), last_missing, gran))
     return (
         product.select(key, "ds", value).withColumn("next_ds", nxt)

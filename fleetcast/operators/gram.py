@@ -36,8 +36,9 @@ def design(product: DataFrame, drivers: DataFrame, config: ForecastConfig) -> tu
 def scaled(train: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Drivers standardized over the whole training window, target centered.
 
-    A constant driver keeps scale 1.
+    A constant driver keeps scale 1. Rows without the target or a driver take no part, so all sums are over the same rows.
     """
+    train = train.dropna(subset=["y", *names])
     w = Window.partitionBy("series_id")
     stats = {}
     for i, n in enumerate(names):

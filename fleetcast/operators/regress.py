@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from fleetcast.config import LASSO, MLR, RIDGE, ForecastConfig
+from fleetcast.config import ELASTIC_NET, LASSO, MLR, RIDGE, ForecastConfig
 from fleetcast.functions.scalars import zero_normalized
 from fleetcast.operators import solvers
 from fleetcast.operators.calendars import horizon_dates, training
@@ -24,6 +24,8 @@ RIDGE_ALPHAS = 8000
 LASSO_ALPHAS = 5000
 L1_RATIOS = (0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0)
 
+LINEAR = (MLR, RIDGE, LASSO, ELASTIC_NET)
+
 MODEL_SCHEMA = ("series_id string, method string, coef array<double>, intercept double, alpha double, "
                 "l1_ratio double, cv_score double, y_mean double, mean array<double>, scale array<double>")
 
@@ -33,6 +35,8 @@ def alpha_values(size: int) -> np.ndarray:
 
 
 def _solve(packed: DataFrame, method: str, config: ForecastConfig) -> DataFrame:
+    if method not in LINEAR:
+        raise ValueError(f"{method} is not a linear method")
     k, forward = config.cv_folds, config.walk_forward
     l_alphas, r_alphas = alpha_values(LASSO_ALPHAS), alpha_values(RIDGE_ALPHAS)
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fleetcast.config import (
     DEFAULT_SEASON, FIRST_FORECAST_ROW, LAST_TRAIN_ROW, MIN_SPAN_DAYS, MIN_TRAIN_DAYS, ForecastConfig,
 )
-from fleetcast.functions.dates import add_periods, parse_day_first
+from fleetcast.functions.dates import add_periods, parse_day_first, period_sequence
 from fleetcast.functions.scalars import zero_normalized
 
 # Texts that stand for a missing number in delimited files.
@@ -224,12 +224,19 @@ def missing_future_drivers(horizon: DataFrame, drivers: DataFrame, names: tuple[
     return wanted.join(known, ["ds", "driver"], "left_anti")
 
 
-def scenario_check(scenario: DataFrame, horizon: int) -> DataFrame:
-    """A scenario counts only with a name and a non-zero value for every horizon date."""
+def scenario_check(scenario: DataFrame, config: ForecastConfig) -> DataFrame:
+    """A scenario counts only with a name and one non-zero value for each date of the horizon.
+
+    The horizon's dates follow from the configuration, so each row finds out by itself whether its date is one of them.
+    """
+    last = add_periods(F.lit(config.forecast_start), F.lit(config.horizon - 1), config.granularity)
+    dates = period_sequence(F.lit(config.forecast_start), last, config.granularity)
     bad = F.count_if(F.col("yhat").isNull() | (F.col("yhat") == 0))
+    known = F.when(F.array_contains(dates, F.col("ds").cast("date")), F.col("ds"))
     named = F.col("scenario").isNotNull() & (F.trim("scenario") != "")
+    whole = (F.col("rows") == config.horizon) & (F.col("horizon_dates") == config.horizon)
     return (
         scenario.groupBy("series_id", "scenario")
-        .agg(F.count("*").alias("rows"), bad.alias("bad_rows"))
-        .withColumn("accepted", named & (F.col("bad_rows") == 0) & (F.col("rows") == horizon))
+        .agg(F.count("*").alias("rows"), bad.alias("bad_rows"), F.countDistinct(known).alias("horizon_dates"))
+        .withColumn("accepted", named & (F.col("bad_rows") == 0) & whole)
     )

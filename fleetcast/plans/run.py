@@ -8,7 +8,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, functions as F
 
 from fleetcast.config import ForecastConfig
-from fleetcast.functions.dates import report_date
+from fleetcast.functions.dates import add_periods, report_date
 from fleetcast.functions.scalars import unit_rounded
 from fleetcast.operators import calendars, explore, metrics, regress, validate
 from fleetcast.plans import assemble
@@ -49,12 +49,18 @@ class ForecastRun:
 
     @cached_property
     def drivers(self) -> DataFrame:
-        """Chosen drivers with edits applied. Missing future values stop the run."""
+        """Chosen drivers with edits applied. Missing values in the training window or the horizon stop the run."""
         names = self.config.drivers
         wide = materialize(self._raw_drivers.select("ds", *[F.col(n).cast("double").alias(n) for n in names]), "drivers")
         if self._edits is not None:
             long = assemble.with_overrides(wide.unpivot(["ds"], list(names), "driver", "x"), self._edits)
             wide = materialize(long.groupBy("ds").pivot("driver", list(names)).agg(F.first("x")), "drivers")
+        c = self.config
+        long = wide.unpivot(["ds"], list(names), "driver", "x")
+        known = calendars.aligned_calendar(long, c.granularity, c, "driver", "x")
+        bad = validate.blocked_drivers(known).first()
+        if bad["blocked"]:
+            raise ValueError(f"driver values are missing in the training window: {bad['drivers']}")
         horizon = calendars.horizon_dates(wide.select(F.lit("drivers").alias("series_id")), self.config)
         gaps = validate.missing_future_drivers(horizon, wide.unpivot(["ds"], list(names), "driver", "x"), names)
         if not gaps.isEmpty():
@@ -82,7 +88,7 @@ class ForecastRun:
         """Accepted scenarios only."""
         if self._scenarios is None:
             return None
-        accepted = validate.scenario_check(self._scenarios, self.config.horizon).where("accepted").select("series_id", "scenario")
+        accepted = validate.scenario_check(self._scenarios, self.config).where("accepted").select("series_id", "scenario")
         return self._scenarios.join(accepted, ["series_id", "scenario"], "left_semi").select("series_id", "ds", "scenario", "yhat")
 
     # -- exploration ----------------------------------------------------------------
@@ -94,9 +100,8 @@ class ForecastRun:
 
     def correlations(self) -> DataFrame:
         c = self.config
-        last = calendars.horizon_dates(self.drivers.select(F.lit("d").alias("series_id")), c).select(F.max("ds").alias("last"))
-        upper = last.first()["last"]
-        window = self.drivers.where((F.col("ds") >= F.lit(c.train_start)) & (F.col("ds") <= F.lit(upper)))
+        upper = add_periods(F.lit(c.forecast_start), F.lit(c.horizon - 1), c.granularity)
+        window = self.drivers.where((F.col("ds") >= F.lit(c.train_start)) & (F.col("ds") <= upper))
         return explore.correlations(window, c.drivers)
 
     # -- results --------------------------------------------------------------------
@@ -133,7 +138,7 @@ class ForecastRun:
         return metrics.score(fit, metrics.FIT_METRICS)
 
     def contributions(self, method: str) -> DataFrame:
-        """Driver contributions of a linear method."""
+        """Driver contributions of a linear method; other methods are refused."""
         models = regress.fit_linear(self.product, self.drivers, self.config, method)
         rows, names = regress.scoring_rows(self.product, self.drivers, self.config)
         return regress.contributions(models, rows, names)

@@ -53,9 +53,9 @@ def product_total_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy("ds").agg(_amount()).select(F.lit("total").alias("series_id"), "ds", "y")
 
 
-def driver_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide driver table ``(ds, n_orders, n_customers, urgent_orders, open_orders)``."""
-    orders = table(spark, sf_dir, "orders").select(_month("o_orderdate"), "o_custkey", "o_orderpriority", "o_orderstatus")
+def driver_monthly(spark: SparkSession, sf_dir: str, since: date | None = None, until: date | None = None) -> DataFrame:
+    """Wide driver table ``(ds, n_orders, n_customers, urgent_orders, open_orders)``, of months in ``since <= ds < until``."""
+    orders = _within(table(spark, sf_dir, "orders"), "o_orderdate", since, until).select(_month("o_orderdate"), "o_custkey", "o_orderpriority", "o_orderstatus")
     return orders.groupBy("ds").agg(
         F.count("*").cast("double").alias("n_orders"),
         F.countDistinct("o_custkey").cast("double").alias("n_customers"),
@@ -75,14 +75,14 @@ def product_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("series_id", "ds").agg(_amount())
 
 
-def product_fleet(spark: SparkSession, sf_dir: str, place: str = "nation") -> DataFrame:
-    """One series per brand and customer nation or region: the fleet used for benchmarks.
+def product_fleet(spark: SparkSession, sf_dir: str, place: str = "nation", since: date | None = None, until: date | None = None) -> DataFrame:
+    """One series per brand and customer nation or region, of months in ``since <= ds < until``: the fleet used for benchmarks.
 
     Items are summed per order, brand and month before the order join, so an order with
     very many items is a few rows there; nations are attached to customers first, and the
     large join is left to adaptive execution, which splits skewed partitions.
     """
-    items = table(spark, sf_dir, "lineitem").select(
+    items = _within(table(spark, sf_dir, "lineitem"), "l_shipdate", since, until).select(
         "l_orderkey", "l_partkey", _month("l_shipdate"), _cents("l_extendedprice"))
     brands = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")

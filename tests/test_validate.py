@@ -57,11 +57,19 @@ def test_whitespace_and_csv_files(spark, tmp_path):
 
 
 def test_scenarios_need_name_and_nonzero_values(spark):
-    rows = [("s", n, v) for n in ("ok", "", "zero", "short") for v in ((1.0, 2.0) if n != "short" else (1.0,))]
-    rows = [(s, n, 0.0 if n == "zero" else v) for s, n, v in rows]
+    first, second = date(2020, 6, 1), date(2020, 7, 1)
+    dated = {"short": (first,), "past": (date(1980, 1, 1), date(1980, 2, 1)), "twice": (first, first)}
+    rows = [("s", n, ds, 0.0 if n == "zero" else v) for n in ("ok", "", "zero", "short", "past", "twice") for ds, v in zip(dated.get(n, (first, second)), (1.0, 2.0))]
+    config = ForecastConfig(date(2018, 1, 1), first, 2, "month", drivers=("a", "b"))
     got = {r.scenario: r.accepted for r in validate.scenario_check(
-        spark.createDataFrame(rows, "series_id string, scenario string, yhat double"), 2).collect()}
-    assert got == {"ok": True, "": False, "zero": False, "short": False}
+        spark.createDataFrame(rows, "series_id string, scenario string, ds date, yhat double"), config).collect()}
+    assert got == {"ok": True, "": False, "zero": False, "short": False, "past": False, "twice": False}
+
+
+def test_complete_calendar_keeps_repeated_dates(spark):
+    rows = [("s", date(2020, 1, 1), 1.0), ("s", date(2020, 1, 1), 2.0), ("s", date(2020, 4, 1), 3.0)]
+    got = calendars.complete_calendar(spark.createDataFrame(rows, SCHEMA), "month").collect()
+    assert sorted((r.ds.month, r.y or 0.0) for r in got) == [(1, 1.0), (1, 2.0), (2, 0.0), (3, 0.0), (4, 3.0)]
 
 
 @pytest.mark.parametrize("name,ok", [("Lauf 1_a-b", True), ("größer", True), ("a/b", False), ("a.b", False), ("", False)])
