@@ -61,26 +61,34 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``MULT**i`` and its inverse for ``i < n``."""
-    inverse = np.uint64(pow(int(MULT), -1, 2**64))
-    out = []
-    for base in (MULT, inverse):
-        p = np.full(n, base, np.uint64)
-        p[:1] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+class Powers:
+    """``MULT**i`` and its inverse for ``i < n``, computed where they are needed: in a pickled function they take no room."""
+
+    def __init__(self):
+        self.tables = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+    def __reduce__(self) -> tuple:
+        return Powers, ()
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.tables[0]) < n:
+            size = 1 << 12 if n <= 1 << 12 else max(n, 1 << 21)
+            out = []
+            for base in (MULT, np.uint64(pow(int(MULT), -1, 2**64))):
+                p = np.full(size, base, np.uint64)
+                p[:1] = 1
+                out.append(np.multiply.accumulate(p))
+            self.tables = tuple(out)
+        return self.tables
 
 
 class SpanHash:
     """Hashes of any spans of a buffer from one pass of prefix sums; equal contents have equal hashes anywhere."""
 
-    table = powers(1 << 12)
+    powers = Powers()
 
     def __init__(self, data: np.ndarray):
-        if len(SpanHash.table[0]) < len(data) + 1:
-            SpanHash.table = powers(max(len(data) + 1, 1 << 21))
-        up, self.down = SpanHash.table
+        up, self.down = SpanHash.powers.upto(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE_CODE[data] * up[:len(data)], out=self.sums[1:])
 
