@@ -28,6 +28,7 @@ WORDS = 4
 PERCENT = 85
 SKETCH = 128
 BROADCAST_ROWS = 1_000_000  # ids of 16 bytes: a list of at most this many is sent to every task
+SLACKS = (*range(9), *range(10, 24, 2), *range(24, 65, 8), *range(96, 193, 32))  # weights beyond the difference that the allocation chooses from
 BLOCK = 4096  # classes of an entry that are compared at once
 ROUNDS = 2  # in which each index row meets one of another component, before all pairs that are left are compared
 REMEMBERED = 1 << 18  # classes a task remembers, so that copies are indexed about once per task
@@ -94,7 +95,7 @@ def allocation(size: float, difference: int, sets: int) -> tuple[int, int, int]:
     their segments of too few shingles weigh more than the slack.
     """
     best = (float("inf"), 1, 0, 0)
-    for slack in range(0, 9):
+    for slack in (x for x in SLACKS if x <= max(8, difference // 2)):
         weight = difference + 1 + slack
         for twos in sorted({0, 1, 2, 3, weight // 4, weight // 2} & set(range(weight // 2 + 1))):
             segments = weight - twos

@@ -66,7 +66,7 @@ def test_size_bands_hold_all_similar_sizes():
         assert (r + low) * 15 // 185 <= bands.difference(int(bands.of(np.array([r]))[0]))
 
 
-@pytest.mark.parametrize("twos, slack", [(0, 0), (3, 2), (2, 0), (0, 4)])
+@pytest.mark.parametrize("twos, slack", [(0, 0), (3, 2), (2, 0), (0, 4), (0, 24)])
 def test_similar_sets_share_an_index_entry(twos, slack):
     rng = np.random.default_rng(1)
     index = jaccard.Index(jaccard.Bands(85, 400), defaultdict(lambda: 1))
