@@ -27,6 +27,7 @@ from fleetcast.session import materialize
 WORDS = 4
 PERCENT = 85
 SKETCH = 128
+WIDE, LARGE = 1024, 3000  # buckets of the sketches of larger sets, whose differences in few buckets would cancel out
 BROADCAST_ROWS = 1_000_000  # ids of 16 bytes: a list of at most this many is sent to every task
 SLACKS = (*range(9), *range(10, 24, 2), *range(24, 65, 8), *range(96, 193, 32))  # weights beyond the difference that the allocation chooses from
 BLOCK = 4096  # classes of an entry that are compared at once
@@ -166,11 +167,27 @@ class Index:
         return chosen[np.concatenate([of[keep], owner[less]])], entry
 
 
-def sketches(sets: ShingleSets) -> np.ndarray:
+def sketches(sets: ShingleSets) -> list[bytes]:
     """Counts by hash bucket, at most 255; the sum of their differences is never above the symmetric difference."""
-    n = len(sets.sizes)
-    owner = np.repeat(np.arange(n), sets.sizes)
-    return np.minimum(np.bincount(owner * SKETCH + (sets.tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=n * SKETCH), 255).astype(np.uint8).reshape(n, SKETCH)
+    out = []
+    for a, b in zip(sets.at[:-1], sets.at[1:]):
+        width = WIDE if b - a >= LARGE else SKETCH
+        bucket = (sets.tokens[a:b] & np.uint64(width - 1)).astype(np.int64)
+        out.append(np.minimum(np.bincount(bucket, minlength=width), 255).astype(np.uint8).tobytes())
+    return out
+
+
+class Sketches:
+    """Sketches side by side: all of them narrow, those of large sets also wide."""
+
+    def __init__(self, values: list[bytes]):
+        counts = [np.frombuffer(v, np.uint8).astype(np.int16) for v in values]
+        self.narrow = np.array([np.minimum(c.reshape(-1, SKETCH).sum(0), 255) for c in counts], np.int16).reshape(-1, SKETCH)
+        self.wide = {i: c for i, c in enumerate(counts) if len(c) == WIDE}
+
+    def gap(self, i: int, other: Sketches, j: int) -> int:
+        """The difference of two sets that are both large by their wide sketches, else 0."""
+        return int(np.abs(self.wide[i] - other.wide[j]).sum()) if i in self.wide and j in other.wide else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, salt: int) -> DataFrame:
@@ -185,7 +202,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, salt:
                 a, b = mixed(s.sums(mixed(s.tokens ^ np.uint64(0xA5A5)))), mixed(s.sums(mixed(s.tokens + np.uint64(77))) + np.uint64(9))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(s.sizes), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
-                     pa.array([x.tobytes() for x in sketches(s)], pa.binary())], ["id", "th", "n", "cls", "other", "sketch"])
+                     pa.array(sketches(s), pa.binary())], ["id", "th", "n", "cls", "other", "sketch"])
 
     return rows.mapInArrow(scan, f"id {id_type}, th long, n long, cls long, other long, sketch binary")
 
@@ -228,8 +245,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
         for batch in batches:
             if batch.num_rows:
                 n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for k in (4, 5))
-                ok = np.abs(x - y).sum(1) * (100 + percent) <= n * (100 - percent)
+                x, y = (Sketches(batch.column(k).to_pylist()) for k in (4, 5))
+                gap = np.maximum(np.abs(x.narrow - y.narrow).sum(1), [x.gap(i, y, i) for i in range(len(n))])
+                ok = gap * (100 + percent) <= n * (100 - percent)
                 yield batch.select([0, 1]).filter(pa.array(ok))
 
     kept = materialize(near.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(bounded, "a long, b long"), "near-pairs")
@@ -286,8 +304,10 @@ def crossing(labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     rows = rows.withColumn("mine", mine).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("entry", F.least("mine", "j").alias("i"), F.greatest("mine", "j").alias("j"), "mine", "cls", "label", "n", "sketch")
 
-    def compare(unit: list[tuple]) -> tuple[list[int], list[int]]:
-        i, j, mine, cls, label, n, sketch = unit
+    def compare(unit: list[np.ndarray], sketches: list[bytes]) -> tuple[list[int], list[int]]:
+        i, j, mine, cls, label, n = unit
+        both = Sketches(sketches)
+        sketch = both.narrow
         left, right = (np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0]))
         out_a, out_b = [], []
         for start in range(0, len(left), 16):
@@ -296,7 +316,9 @@ def crossing(labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             small, large = np.minimum(n[x][:, None], n[right][None, :]), np.maximum(n[x][:, None], n[right][None, :])
             ok = (label[x][:, None] != label[right][None, :]) & (100 * small >= percent * large) & (gap * (100 + percent) <= (small + large) * (100 - percent))
             r, c = np.nonzero(ok)
-            p, q = cls[x[r]], cls[right[c]]
+            wide = np.array([both.gap(p, both, q) for p, q in zip(x[r].tolist(), right[c].tolist())], np.int64)
+            near = wide * (100 + percent) <= (small + large)[r, c] * (100 - percent)
+            p, q = cls[x[r[near]]], cls[right[c[near]]]
             out_a += np.minimum(p, q).tolist()
             out_b += np.maximum(p, q).tolist()
         return out_a, out_b
@@ -326,11 +348,11 @@ def crossing(labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
     def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
         cols = [table.column(k).to_numpy() for k in range(7)]
-        sketch = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        sketch = table.column(7).to_pylist()
         cuts = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
         a, b = [], []
         for lo, hi in zip([0, *cuts], [*cuts, len(cols[0])]):
-            p, q = compare([*[c[lo:hi] for c in cols[1:]], sketch[lo:hi]])
+            p, q = compare([c[lo:hi] for c in cols[1:]], sketch[lo:hi])
             a += p
             b += q
         if a:
