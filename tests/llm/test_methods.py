@@ -73,6 +73,7 @@ def test_similar_sets_share_an_index_entry(twos, slack):
     weight = np.array([index.bands.difference(b) + 1 + slack for b in range(len(index.segments))])
     index.twos = np.minimum(twos, weight // 2)
     index.segments, index.slack = weight - index.twos, np.full(len(weight), slack)
+    index.used[:] = True
     for n in (6, 7, 13, 20, 33, 60, 150, 300):
         for _ in range(40):
             base = rng.integers(0, 2**63, n, dtype=np.uint64)
@@ -148,7 +149,7 @@ def test_toxic_words_are_learned():
     ("4111 1111 1111 1111 and 4111 1111 1111 1112", "card:0:19"),
     ("+1 (415) 555-2671 x +1 2", "phone:0:17"),
     ("john [at] mail [dot] com", "email:0:24"), ("jo.do at mail dot com", "email:0:21"), ("see you at mail.com now", ""),
-    ("wrіte jоhn@mail.com", "email:7:19,email:9:19"), ("call plus 1 four one five five five five two six seven one", "phone:5:58"),
+    ("wrіte jоhn@mail.com", "email:6:19,email:8:19"), ("call plus 1 four one five five five five two six seven one", "phone:5:58"),
     ("+1 (415) 555-2671 un an", "phone:0:17"), ("zero @ nothing", ""),
 ])
 def test_identifiers(text, spans):
