@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetcast.llm import decontaminate, exact, html, jaccard, langid, merkle, mixing, pii, sharding, suffixes, toxicity
+from fleetcast.llm import decontaminate, dialogue, exact, html, jaccard, langid, lm, merkle, mixing, pii, sharding, suffixes, toxicity
 from fleetcast.session import materialize, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,21 @@ def op10_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, net, ["doc_id", "held_out"])
 
 
+@query
+def op11_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair to a legal order of roles."""
+    rows = table(spark, sf_dir, "conversations")
+    return dialogue.repair(dialogue.damaged(rows).drop("twin"), rows)
+
+
+@query
+def op12_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under a model of four fifths of them, and under single words."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket(5) == 1)
+    model = lm.fit(docs.filter(~F.coalesce("held_out", F.lit(False))))
+    return lm.score(docs, model, ["doc_id", "held_out"])
+
+
 @query
 def op13_butterfly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and whether the row as found still folds to the root."""
