@@ -3,11 +3,16 @@
 Benchmark items and documents become sequences of canonical words: numbers, names and units are typed placeholders, so a question
 with other figures or other people keeps its template. Windows of the template are hashed and joined; along each diagonal of matching
 windows the slots must be consistent: equal values of the item stand for equal values of the document, and unequal ones for unequal ones.
+
+A capital that opens a sentence may be a name's or the sentence's. So there are two forms of a text, with such words as names and as
+plain words; items and documents are compared form by form. A window of few plain words fits too much prose when its placeholders are left open, so it
+is hashed with its values: it counts where an item stands as it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +22,8 @@ from fleetcast.llm.texts import ASCII_LOWER, LETTER, SpanHash, buffers, mixed, p
 from fleetcast.session import materialize
 
 WINDOW = 8  # canonical words
-FIXED = 4  # words of a window that must not be placeholders
+FIXED = 4  # words of a window that must not be placeholders, else its values are hashed
+FORMS = (0, 1)  # capitals that open a sentence are plain words, or names
 SHORTEST = 5  # fixed words that an item shorter than a window must have; less cannot be told from prose
 COVERED = 13  # words of an item that must match, or all of a shorter one
 BROADCAST_WINDOWS = 1_000_000  # benchmark windows sent to every task at once; more are joined in blocks of this many
@@ -52,7 +58,8 @@ UNIT_HASHES, NUMBER_HASHES = hashes_of(UNITS), hashes_of(NUMBER_WORDS)
 class Templates:
     """Canonical words of several texts: ``word`` (hash or placeholder), ``value`` (hash of what stands there), bounds ``at``."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, form: int):
+        self.form = form
         raw, offsets = buffers(texts)
         low = ASCII_LOWER[raw]
         wide = np.zeros(len(raw), bool)  # second byte of a capital letter from À to Þ
@@ -78,15 +85,17 @@ class Templates:
         stops = np.concatenate([[0], np.cumsum(STOP[raw] & ~inner)])
         after = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         opening |= stops[starts] > stops[np.minimum(after, starts)]
-        name = capital & ~opening & ~number
+        name = capital & ~number
+        if not form:
+            name &= ~opening
         unit = np.zeros(len(starts), bool)
         unit[1:] = number[:-1] & within(UNIT_HASHES, self.value[1:])
-        unit &= ~opening
+        unit &= ~opening & ~name
         self.word = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, self.value)))
         self.slot = number | unit | name
         # Adjacent names are one name: "New York" and "Paris" fill the same slot.
         follows = np.zeros(len(starts), bool)
-        follows[1:] = name[1:] & name[:-1]
+        follows[1:] = name[1:] & name[:-1] & ~opening[:-1]  # but a word that opens a sentence may not be one
         keep = ~follows
         parts = np.cumsum(keep) - 1
         value = np.zeros(int(keep.sum()), np.uint64)
@@ -97,15 +106,18 @@ class Templates:
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """``(hash, usable)`` of the window at each word; windows never cross texts."""
         n = max(len(self.word) - length + 1, 0)
-        h = np.full(n, np.uint64(length))
+        fixed = np.concatenate([[0], np.cumsum(~self.slot)])
+        rich = fixed[length:n + length] - fixed[:n] >= (FIXED if length == WINDOW else SHORTEST)
+        h, as_is = np.full(n, np.uint64(length + 64 * self.form)), np.full(n, np.uint64(length + 64 * self.form + 32))
         for k in range(length):
             h = mixed(h ^ self.word[k:n + k])
-        fixed = np.concatenate([[0], np.cumsum(~self.slot)])
+            as_is = mixed(as_is ^ self.value[k:n + k])
         text = np.searchsorted(self.at, np.arange(n), "right") - 1
-        return h, (np.arange(n) + length <= self.at[np.minimum(text + 1, len(self.at) - 1)]) & (fixed[length:n + length] - fixed[:n] >= (FIXED if length == WINDOW else SHORTEST))
+        inside = np.arange(n) + length <= self.at[np.minimum(text + 1, len(self.at) - 1)]
+        return np.where(rich, h, as_is), inside & (rich | (length == WINDOW))
 
 
-WINDOW_FIELDS = "length int, pos int, hash long, slots array<struct<o:int,v:long>>"
+WINDOW_FIELDS = "form int, length int, pos int, hash long, slots array<struct<o:int,v:long>>"
 
 
 def rows_of(t: Templates, i: np.ndarray, length: int, h: np.ndarray, names: list[pa.Array], labels: list[str], text: np.ndarray) -> pa.RecordBatch:
@@ -113,8 +125,8 @@ def rows_of(t: Templates, i: np.ndarray, length: int, h: np.ndarray, names: list
     slots = [[{"o": int(k), "v": int(v)} for k, v in zip(np.flatnonzero(t.slot[a:a + length]), t.value[a:a + length][t.slot[a:a + length]].view(np.int64))] for a in i]
     owner = pa.array(text)
     return pa.RecordBatch.from_arrays(
-        [*[x.take(owner) for x in names], pa.array(np.full(len(i), length, np.int32)), pa.array((i - t.at[text]).astype(np.int32)), pa.array(h[i].view(np.int64)),
-         pa.array(slots, pa.list_(pa.struct([("o", pa.int32()), ("v", pa.int64())])))], [*labels, "length", "pos", "hash", "slots"])
+        [*[x.take(owner) for x in names], pa.array(np.full(len(i), t.form, np.int32)), pa.array(np.full(len(i), length, np.int32)), pa.array((i - t.at[text]).astype(np.int32)), pa.array(h[i].view(np.int64)),
+         pa.array(slots, pa.list_(pa.struct([("o", pa.int32()), ("v", pa.int64())])))], [*labels, "form", "length", "pos", "hash", "slots"])
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,8 +136,8 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
-                t = Templates(part.column(1))
+            for part, form in ((p, f) for p in pieces(batch, "text") for f in FORMS):
+                t = Templates(part.column(1), form)
                 count = np.diff(t.at)
                 for length in range(SHORTEST, WINDOW + 1):
                     h, ok = t.windows(length)
@@ -145,8 +157,8 @@ def matching_windows(docs: DataFrame, id_col: str, text_col: str, known: dict[in
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
-                t = Templates(part.column(2))
+            for part, form in ((p, f) for p in pieces(batch, "text") for f in FORMS):
+                t = Templates(part.column(2), form)
                 for length, hashes in known.items():
                     h, ok = t.windows(length)
                     i = np.flatnonzero(ok & within(hashes, h))
@@ -161,8 +173,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """``(id, th, item, covered_words, item_words, kind)``: one row per document and item that it holds, verbatim or re-parameterised.
 
     ``th`` is ``xxhash64(text)``, which tells rows of one id apart. A document holds an item if consistent windows on one diagonal cover
-    13 canonical words of it, or all of a shorter item. NULL and empty texts hold nothing; items of fewer than 5 fixed words cannot be
-    found. Repeated rows and items give one row. An empty benchmark gives no rows.
+    13 canonical words of it, or all of a shorter item. NULL and empty texts hold nothing; items of fewer than 8 words of which less than 5 are
+    plain words in both forms cannot be found. Repeated rows and items give one row; of several places the one that covers most, verbatim before
+    re-parameterised. Texts of any length are read whole; an empty benchmark gives no rows. Further columns are not read.
     """
     windows = materialize(benchmark_windows(items, item_col, item_text).distinct(), "benchmark-windows")
     distinct = windows.select("length", "hash").distinct()
@@ -174,18 +187,18 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         part = matching_windows(docs, id_col, text_col, known)
         hits = part if hits is None else hits.unionByName(part)
     hits = materialize(hits, "matching-windows")
-    aligned = hits.distinct().select("id", "th", "length", "hash", F.col("pos").alias("dpos"), F.col("slots").alias("dslots")).join(windows, ["length", "hash"])
-    diagonal = ["id", "th", "item", (F.col("dpos") - F.col("pos")).alias("shift")]
+    aligned = hits.distinct().select("id", "th", "form", "length", "hash", F.col("pos").alias("dpos"), F.col("slots").alias("dslots")).join(windows, ["form", "length", "hash"])
+    diagonal = ["id", "th", "item", "form", (F.col("dpos") - F.col("pos")).alias("shift")]
     aligned = materialize(aligned.select(*diagonal, "words", "length", "pos", F.arrays_zip(F.col("slots").alias("i"), F.col("dslots").alias("d")).alias("slots")), "aligned-windows")
-    keys = ["id", "th", "item", "shift"]
+    keys = ["id", "th", "item", "form", "shift"]
     cover = aligned.groupBy(*keys).agg(F.first("words").alias("words"), F.first("length").alias("length"), F.array_sort(F.collect_set("pos")).alias("at"))
     step = F.aggregate("at", F.struct(F.lit(-1_000_000).alias("last"), F.lit(0).alias("n")),
                        lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.col("length"), p - acc["last"])).alias("n")))
     cover = cover.withColumn("covered", step["n"]).filter(F.col("covered") >= F.least(F.lit(COVERED), F.col("words")))
     slots = aligned.select(*keys, "pos", F.explode("slots").alias("s")).select(*keys, (F.col("pos") + F.col("s.i.o")).alias("o"), F.col("s.i.v").alias("iv"), F.col("s.d.v").alias("dv")).distinct()
     judged = slots.groupBy(*keys).agg(F.countDistinct("iv").alias("n_i"), F.countDistinct("dv").alias("n_d"), F.countDistinct("iv", "dv").alias("n_pairs"), F.min(F.col("iv") == F.col("dv")).alias("same"))
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"j.{k}")) for k in keys]
-    found = cover.alias("c").join(judged.alias("j"), same[0] & same[1] & same[2] & same[3], "left").filter("n_pairs IS NULL OR (n_pairs = n_i AND n_pairs = n_d)")
+    same = reduce(lambda x, y: x & y, [F.col(f"c.{k}").eqNullSafe(F.col(f"j.{k}")) for k in keys])
+    found = cover.alias("c").join(judged.alias("j"), same, "left").filter("n_pairs IS NULL OR (n_pairs = n_i AND n_pairs = n_d)")
     best = F.max(F.struct(F.col("covered"), F.coalesce("same", F.lit(True)).alias("same"), "words"))
     return found.groupBy("c.id", "c.th", "c.item").agg(best.alias("b")).select(
         F.col("id").alias(id_col), "th", F.col("item").alias(item_col), F.col("b.covered").alias("covered_words"), F.col("b.words").alias("item_words"),

@@ -32,6 +32,7 @@ BROADCAST_ROWS = 1_000_000  # ids of 16 bytes: a list of at most this many is se
 SLACKS = (*range(9), *range(10, 24, 2), *range(24, 65, 8), *range(96, 193, 32))  # weights beyond the difference that the allocation chooses from
 BLOCK = 4096  # classes of an entry that are compared at once
 ROUNDS = 2  # in which each index row meets one of another component, before all pairs that are left are compared
+FIRST = 32  # entries that a class lists
 REMEMBERED = 1 << 18  # classes a task remembers, so that copies are indexed about once per task
 
 
@@ -296,16 +297,23 @@ def crossing(labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     """Distinct pairs ``a < b`` of an entry's classes in different components that sizes and sketches do not rule out.
 
     Entries are compared inside tasks, block against block, so that a task's rows do not grow with the square of an entry.
+    Similar sets share most of their entries. So that a pair is not named once for each, classes carry the first ``FIRST`` of their open entries, and
+    an entry leaves a pair out if both lists have an earlier one: if two lists meet at all, their first meeting is the pair's first common entry, which names it.
     """
     open_entries = labelled.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("entry")
-    rows = labelled.join(open_entries, "entry").join(classes.select("cls", "n", "sketch"), "cls")
+    rows = materialize(labelled.join(open_entries, "entry"), "open-entries")
+    order = W.partitionBy("cls").orderBy("entry")
+    lists = rows.select("cls", "entry").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= FIRST)
+    lists = lists.groupBy("cls").agg(F.sort_array(F.collect_list("entry")).alias("firsts"))
+    facts = classes.select("cls", "n", "sketch").join(lists, "cls")
+    rows = rows.join(facts, "cls")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("entry", F.least("mine", "j").alias("i"), F.greatest("mine", "j").alias("j"), "mine", "cls", "label", "n", "sketch")
+    rows = rows.select("entry", F.least("mine", "j").alias("i"), F.greatest("mine", "j").alias("j"), "mine", "cls", "label", "n", "sketch", "firsts")
 
-    def compare(unit: list[np.ndarray], sketches: list[bytes]) -> tuple[list[int], list[int]]:
-        i, j, mine, cls, label, n = unit
+    def compare(unit: list[np.ndarray], sketches: list[bytes], firsts: np.ndarray) -> tuple[list[int], list[int]]:
+        entry, i, j, mine, cls, label, n = unit
         both = Sketches(sketches)
         sketch = both.narrow
         left, right = (np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0]))
@@ -318,9 +326,13 @@ def crossing(labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             r, c = np.nonzero(ok)
             wide = np.array([both.gap(p, both, q) for p, q in zip(x[r].tolist(), right[c].tolist())], np.int64)
             near = wide * (100 + percent) <= (small + large)[r, c] * (100 - percent)
-            p, q = cls[x[r[near]]], cls[right[c[near]]]
-            out_a += np.minimum(p, q).tolist()
-            out_b += np.maximum(p, q).tolist()
+            p, q = x[r[near]], right[c[near]]
+            for s in range(0, len(p), 1024):
+                a, b = firsts[p[s:s + 1024]], firsts[q[s:s + 1024]]
+                earlier = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] < entry[0])).any((1, 2))
+                mine_p, mine_q = cls[p[s:s + 1024][~earlier]], cls[q[s:s + 1024][~earlier]]
+                out_a += np.minimum(mine_p, mine_q).tolist()
+                out_b += np.maximum(mine_p, mine_q).tolist()
         return out_a, out_b
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,10 +361,14 @@ def crossing(labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
         cols = [table.column(k).to_numpy() for k in range(7)]
         sketch = table.column(7).to_pylist()
+        lists = pa.chunked_array(table.column(8)).combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy())
+        first = np.full((len(lengths), FIRST), np.iinfo(np.int64).max)  # places that are not filled are never earlier than an entry
+        first[np.arange(FIRST) < lengths[:, None]] = lists.flatten().to_numpy()
         cuts = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
         a, b = [], []
         for lo, hi in zip([0, *cuts], [*cuts, len(cols[0])]):
-            p, q = compare([c[lo:hi] for c in cols[1:]], sketch[lo:hi])
+            p, q = compare([c[lo:hi] for c in cols], sketch[lo:hi], first[lo:hi])
             a += p
             b += q
         if a:

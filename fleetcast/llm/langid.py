@@ -78,7 +78,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", key: st
     The sample reaches the driver as 8 KB vectors. Rows without text or language are left out.
     """
     known = rows.select(F.col(key).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    chosen = bounded_sample(known.select("key", "lang"), "lang", per_language, "key").distinct().limit(most)  # bounded, so it is sent to the texts
+    chosen = bounded_sample(known.select("key", "lang"), "lang", per_language, "key").distinct().orderBy(F.xxhash64("key", "lang"), "key", "lang").limit(most)  # bounded, so it is sent to the texts
     sample = known.join(F.broadcast(chosen), ["key", "lang"]).filter(F.col("text").rlike(r"\p{L}")).select("lang", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -26,8 +27,8 @@ from fleetcast.llm.trie import Trie
 from fleetcast.session import materialize
 
 MU = 500.0
-CHUNK = 4_000_000  # tokens whose pairs are gathered before they are sent
-SHARD_BYTES = 32_000_000  # training text per shard
+CHUNK = 2_500_000  # tokens whose pairs are gathered before they are sent
+SHARD_BYTES = 24_000_000  # training text per shard
 HEAVY = 24  # a word is spread if it has one occurrence per so many bytes of a shard's text
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 CONTEXT_BITS = np.uint64(16)  # dropped from a context's hash
@@ -98,13 +99,20 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
         yield held
 
 
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers of hashes in their order, and how many there are."""
+    codes, distinct = pd.factorize(hashes)
+    rank = np.empty(len(distinct), np.int64)
+    rank[np.argsort(distinct)] = np.arange(len(distinct))
+    return rank[codes], len(distinct)
+
+
 def grouped(tokens: Tokens, shards: int, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
     """Tokens in the order of shard, word, context and document, as ``(shard, word, context, document)``."""
     word, context, doc = tokens.pairs()
-    words, w = np.unique(word, return_inverse=True)
-    contexts, v = np.unique(context, return_inverse=True)
+    (w, words), (v, contexts) = numbered(word), numbered(context)
     shard = shard_of(word, context, shards, heavy)
-    order = np.argsort((shard * len(words) + w) * len(contexts) + v, kind="stable")
+    order = np.argsort((shard * words + w) * contexts + v, kind="stable")
     return shard[order], word[order], context[order], doc[order]
 
 
@@ -268,15 +276,18 @@ def answer(facts: Facts, trie: Trie, row: dict) -> tuple[np.ndarray, ...]:
     counts = facts.counts(trie, words, at, known)
     logs = np.log10(facts.prior(counts))[place]
     if len(trie.words):
-        child, found = trie.find_children(at[place], known[place], contexts)
+        child, found = trie.find_children(at, known, place, contexts)
         logs[found] = trie.codebook[trie.codes[child[found]]]
     logs -= np.where(words == END, 0.0, np.log10(counts + facts.mu))[place]  # what follows this occurrence
     pair = np.repeat(np.arange(len(place)), _long(row["counts"]))
-    docs, times = _long(row["docs"]), _long(row["times"])
-    there, doc = np.unique(docs, return_inverse=True)
+    docs, times = _long(row["docs"]), _long(row["times"]).astype(np.float64)
     token = place[pair]
-    return (there, np.bincount(doc, times * np.log10(counts + 0.5)[token], len(there)), np.bincount(doc, times * logs[pair], len(there)),
-            np.bincount(doc, times * (counts > 0)[token], len(there)).astype(np.int64))
+
+    def total(each: np.ndarray) -> np.ndarray:
+        return np.bincount(docs, times * each)
+
+    there = np.flatnonzero(np.bincount(docs))
+    return there, total(np.log10(counts + 0.5)[token])[there], total(logs[pair])[there], np.rint(total((counts > 0)[token])[there]).astype(np.int64)
 
 
 ANSWER = "chunk long, docs binary, base binary, score binary, known binary, meta binary"

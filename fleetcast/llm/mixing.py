@@ -67,5 +67,7 @@ def replicate(docs: DataFrame, table: DataFrame, columns: list[str], seed: int =
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
-    """Global random order: ranges of the random key, each sorted."""
-    return mixed.repartitionByRange("mix_order").sortWithinPartitions("mix_order")
+    """Global random order. The key is a uniform hash, so equal ranges of it are even: its high bits name the partition, which is then sorted."""
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor((F.shiftright("mix_order", 32) + F.lit(2**31)) * n / F.lit(2.0**32)).cast("int")
+    return mixed.repartitionById(n, place).sortWithinPartitions("mix_order")

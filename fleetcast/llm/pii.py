@@ -54,7 +54,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 def ip_finds(text: str) -> Iterator[tuple[int, int]]:
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             yield m.span()
 
 
@@ -101,12 +101,18 @@ PAIR = re.compile(rf"{_FAST}[\x20.()-]{{1,3}}(?:[0-9]|{_FAST})|[0-9][\x20.()-]{{
 # A run of at least four numerals, at least one of them spelled, apart by at most a sign and spaces.
 NUMERALS = re.compile(r"(?:\+|plus\x20)?\x20?" + NUMERAL + r"(?:[\x20.()-]{1,3}" + NUMERAL + r"){3,}", re.I)
 SIGN = r"(?:\x20*[\[({{<]\x20*(?:{words})\x20*[\])}}>]\x20*|\x20+(?:{words})\x20+)"
-AT_SIGN = r"(?:" + SIGN.format(words="|".join((*AT_WORDS, "@"))) + r"|\x20*@\x20*)"
+AT_SIGN = r"(?:" + SIGN.format(words="|".join((*AT_WORDS, "@"))) + r"|@)"
 DOT_SIGN = r"(?:" + SIGN.format(words="|".join((*DOT_WORDS, r"\."))) + r"|\.)"
-PART = r"[A-Za-z0-9_%+-]{1,64}"
-ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-]){PART}(?:{DOT_SIGN}{PART}){{0,4}}(?P<at>{AT_SIGN})[A-Za-z0-9-]{{1,63}}(?P<dots>(?:{DOT_SIGN}[A-Za-z0-9-]{{1,63}}){{1,4}})(?![A-Za-z0-9-])", re.I)
-AT, DOT = re.compile(AT_SIGN, re.I), re.compile(DOT_SIGN, re.I)
-HINTS = re.compile(r"[\[({<]\x20*(?:" + "|".join((*AT_WORDS, "@", *DOT_WORDS, r"\.")) + r")\x20*[\])}>]|@\x20|\x20@|\x20(?:" + "|".join(AT_WORDS) + r")\x20", re.I)
+PART, HOST = r"[A-Za-z0-9_%+-]++", r"[A-Za-z0-9-]++"
+# A chain of parts and, if they follow, an at sign and a host. Chains are taken as a whole, so a text is read once.
+ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>{PART}(?:{DOT_SIGN}{PART})*+)(?:(?P<at>{AT_SIGN}){HOST}(?P<dots>(?:{DOT_SIGN}{HOST})++))?", re.I)
+SPELLED_IP = re.compile(rf"(?<![0-9.])[0-9]++(?:{DOT_SIGN}[0-9]++){{3}}", re.I)
+DOT = re.compile(DOT_SIGN, re.I)
+# What a disguised address or number holds at least; rules out most texts.
+HINT = re.compile(rf"{AT_SIGN}{HOST}{DOT_SIGN}[A-Za-z0-9-]", re.I)
+IP_HINT = re.compile(rf"[0-9]{SIGN.format(words='|'.join((*DOT_WORDS, r'[.]')))}[0-9]", re.I)
+# Words after which "name at host" is meant as an address.
+CUE = re.compile(r"(?:\b(?:e-?mail|mail|contact|write|reach|address|kontakt|adresse|schreib\w*|courriel|[eé]cri\w*|correo|contacto|escrib\w*)\b[^.!?\n]{0,24}|[:<(\"'])\x20*\Z", re.I)
 
 
 class Rewritten:
@@ -175,25 +181,37 @@ def spelled_digits(t: Rewritten) -> Rewritten:
     return t.replaced(edits) if edits else t
 
 
+def is_address(text: str, m: re.Match) -> bool:
+    """Whether a chain, an at sign and a host are meant as an address.
+
+    A bracketed at sign, or one with spaces on both sides, always is. A word is one if the name has a letter and a dot, digit, underscore or the
+    like, or if a cue stands before it: "you at noon dot com" is prose.
+    """
+    at, local = m["at"], m["local"]
+    if at.strip() == "@" or re.search(r"[\[({<]", at):
+        return True
+    if not re.search(r"[A-Za-z]", local):
+        return False
+    return bool(re.search(r"[0-9_.%+-]", local) or DOT.search(local) or CUE.search(text, max(0, m.start() - 64), m.start()))
+
+
 def signs(t: Rewritten) -> Rewritten:
-    """``@`` and ``.`` for their disguises where the whole reads as an address."""
+    """``@`` and ``.`` for their disguises where the whole reads as an address or as four numbers."""
     edits = []
-    if not HINTS.search(t.text):
-        return t
-    for m in ADDRESS.finditer(t.text):
-        at, dots = m["at"], m["dots"]
-        worded = at.strip() != "@" and not re.search(r"[\[({<]", at)  # "name at host.org" is prose more often than not
-        if at == "@" and not DOT.sub("", dots) or worded and not re.search(r"[\[({<]|\x20", dots):
-            if at == "@":
-                continue
-        if worded and "." in dots and not re.search(r"\x20|[\[({<]", dots):
-            continue
-        a, b = m.span("at")
-        found = [(a, b, "@")] if at != "@" else []
-        for part, base in ((t.text[m.start():a], m.start()), (dots, m.start("dots"))):
-            found += [(base + d.start(), base + d.end(), ".") for d in DOT.finditer(part) if d[0] != "."]
-        edits += sorted(found)
-    return t.replaced(edits) if edits else t
+    if HINT.search(t.text):
+        place = 0
+        while m := ADDRESS.search(t.text, place):
+            place = m.end("local")
+            if m["at"] and is_address(t.text, m):
+                place = m.end()
+                edits += [(*m.span("at"), "@")] * (m["at"] != "@")
+                for part in ("local", "dots"):
+                    edits += [(m.start(part) + d.start(), m.start(part) + d.end(), ".") for d in DOT.finditer(m[part]) if d[0] != "."]
+    if IP_HINT.search(t.text):
+        taken = {(a, b) for a, b, _ in edits}
+        edits += [e for m in SPELLED_IP.finditer(t.text) for d in DOT.finditer(m[0]) if d[0] != "."
+                  for e in [(m.start() + d.start(), m.start() + d.end(), ".")] if e[:2] not in taken]
+    return t.replaced(sorted(edits)) if edits else t
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
@@ -228,8 +246,11 @@ def redacted(text: str, spans: list[Span]) -> str:
 def find(docs: DataFrame, keep: list[str], text_col: str = "text", redact: bool = False) -> DataFrame:
     """``keep`` and ``n_<kind>`` (of all spans), ``base_sha256``, ``spans``, ``base_spans`` and, on request, ``redacted`` of every row.
 
-    Offsets are code points, ends exclusive. NULL text counts as empty. Whole texts are read, in linear time.
+    Offsets are code points, ends exclusive. NULL text counts as empty. Whole texts are read, in linear time, whatever their length. Spans of one kind
+    that start together are ordered by their end; repeated rows get equal results; the result's columns replace kept ones of the same
+    name. An empty table gives an empty result. Not found: a name without dot or digit beside a spelled "at" without a cue before it.
     """
+    keep = [c for c in keep if c not in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "base_spans", "redacted")]
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = StructType([*rows.schema.fields[:len(keep)]])
     for kind in KINDS:

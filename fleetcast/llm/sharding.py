@@ -32,16 +32,20 @@ def even_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
 def edit_map(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     """The next version of a map, for ``shards`` shards of near equal bytes.
 
-    A shard keeps its slots, largest first, while they fit its share; slots beyond the share, and slots of
-    shards that no longer exist, are loose. Loose slots go, largest first, each to the shard that is lightest so far.
-    Slots without rows stay where they are if they can. The fold runs over at most one entry per slot.
+    Of a shard above its share, slots are let loose in the order of their numbers, each that fits what is left of the excess; so few bytes
+    move and the shard ends just above its share. All slots of shards that no longer exist are loose. Loose slots go, largest first, each to the
+    shard that is lightest so far. Slots without rows stay where they are if they can; ties go by slot and shard number. Without rows nothing moves
+    but slots of shards that are gone. The folds run over at most one entry per slot.
     """
     known = current.join(sizes, "vslot", "left").select(
         "vslot", "shard", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     total = known.agg((F.sum("bytes") / shards).alias("share"))
-    order = W.partitionBy("shard").orderBy(F.desc("bytes"), "vslot")
-    judged = known.withColumn("upto", F.sum("bytes").over(order)).crossJoin(F.broadcast(total)).withColumn(
-        "keeps", (F.col("shard") < shards) & (F.col("upto") <= F.col("share")))
+    held = known.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("vslot", "bytes"))).alias("slots"), F.sum("bytes").alias("all"))
+    fits = F.aggregate(
+        "slots", F.struct((F.col("all") - F.col("share")).alias("left"), F.array().cast("array<int>").alias("out")),
+        lambda acc, x: F.when((x["bytes"] > 0) & (x["bytes"] <= acc["left"]), F.struct((acc["left"] - x["bytes"]).alias("left"), F.concat(acc["out"], F.array(x["vslot"])).alias("out"))).otherwise(acc))
+    loosened = held.crossJoin(F.broadcast(total)).select("shard", "slots", fits["out"].alias("out"))  # total is one row
+    judged = loosened.select("shard", "out", F.inline("slots")).withColumn("keeps", (F.col("shard") < shards) & ~F.array_contains("out", F.col("vslot")))
     state = judged.agg(
         F.map_from_entries(F.collect_list(F.when(F.col("keeps"), F.struct("vslot", "shard")))).alias("kept"),
         F.collect_list(F.when(F.col("keeps"), F.struct(F.col("shard"), F.col("bytes")))).alias("loads"),
@@ -86,8 +90,12 @@ def assign(rows: DataFrame, mapping: DataFrame, sizes: DataFrame, order: list[Co
 
     The place is the row's rank within its virtual slot plus the number of rows in the shard's earlier slots; so the
     ranking runs over thousands of small groups, never over a shard. The map has one row per slot, a fixed bound.
+    ``shard`` and ``slot`` replace columns of ``rows`` of these names. Ties in ``order`` are broken arbitrarily, so give what tells rows apart; repeated
+    rows share a virtual slot and get places of their own. Text does not matter here, only ``vslot``; an empty table has no rows.
     """
     by_shard = W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1)
-    first = mapping.join(sizes, "vslot").select("vslot", "shard", F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("first"))
+    first = mapping.join(sizes, "vslot").select(F.col("vslot").alias("__vslot"), "shard", F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("__first"))
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
     rank = F.row_number().over(W.partitionBy("vslot").orderBy(*order)) - 1
-    return rows.withColumn("rank", rank).join(F.broadcast(first), "vslot").withColumn("slot", (F.col("first") + F.col("rank")).cast("long")).drop("rank", "first")
+    placed = rows.withColumn("__rank", rank).select(*kept, "__rank").join(F.broadcast(first), F.col("vslot") == F.col("__vslot"))
+    return placed.select(*kept, "shard", (F.col("__first") + F.col("__rank")).cast("long").alias("slot"))

@@ -106,10 +106,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def bounded_sample(rows: DataFrame, label: str, per_label: int, key: str, seed: int = 7) -> DataFrame:
-    """About ``per_label`` rows of each label, chosen by a hash of ``key`` among all rows; fewer where a label has fewer."""
+    """About ``per_label`` rows of each label, chosen by a hash of ``key`` among all rows; fewer where a label has fewer.
+
+    The counts, one row for each of a classifier's classes, are sent to the rows.
+    """
     counts = rows.groupBy(label).agg(F.count("*").alias("label_n"))
     share = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) / F.lit(float(2**53))
-    return rows.join(counts, label).filter(share < per_label / F.col("label_n")).drop("label_n")
+    return rows.join(F.broadcast(counts), label).filter(share < per_label / F.col("label_n")).drop("label_n")
 
 
 SENT_ROWS = 1_000_000  # rows of 16 bytes: a list of at most this many is sent to every task

@@ -87,31 +87,34 @@ class EliasFano:
     def all(self) -> np.ndarray:
         return self.get(np.arange(self.n))
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Place of the first value that is ``x`` or more; ``len(self)`` if there is none."""
-        x = np.asarray(x, U64)
+    def _seek(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(place, end, low)``: the first value of the bucket of ``x`` that is ``x`` or more, the bucket's end, and the low bits of ``x``."""
         bucket = np.minimum(x >> U64(self.width), U64(int(self.zeros[-1]))).astype(np.int64)
         # values of a bucket stand between the zeros before and after it
         start = np.where(bucket > 0, self._select(self.zeros, self.high, True, np.maximum(bucket - 1, 0)) - bucket + 1, 0)
-        start = np.minimum(start, self.n)
+        place = np.minimum(start, self.n)
         end = np.minimum(self._select(self.zeros, self.high, True, np.minimum(bucket, self.zeros[-1] - 1)) - bucket, self.n)
         low = x & U64((1 << self.width) - 1)
-        place = start.copy()
         todo = np.flatnonzero(place < end)
         while len(todo):
             todo = todo[self._lows(place[todo]) < low[todo]]
             place[todo] += 1
             todo = todo[place[todo] < end[todo]]
-        return place
+        return place, end, low
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Place of the first value that is ``x`` or more; ``len(self)`` if there is none."""
+        return self._seek(np.asarray(x, U64))[0]
 
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(place, whether the value there is x)``."""
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        place = self.successor(x)
-        there = place < self.n
+        place, end, low = self._seek(np.asarray(x, U64))
+        there = place < end  # a value of the same bucket: its low bits decide
         place = np.minimum(place, self.n - 1)
-        return place, there & (self.get(place) == np.asarray(x, U64))
+        there[there] = self._lows(place[there]) == low[there]
+        return place, there
 
 
 def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,11 +183,16 @@ class Trie:
     def word_counts(self, place: np.ndarray) -> np.ndarray:
         return (self.counts.get(place + 1) - self.counts.get(place)).astype(np.int64) if len(place) else np.zeros(0, np.int64)
 
-    def find_children(self, word: np.ndarray, known: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(place, found)`` of contexts below the words at the places ``word``, as far as these are ``known``."""
-        ids, met = self.contexts.find(context)
-        met &= known
+    def find_children(self, word: np.ndarray, known: np.ndarray, owner: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(place, found)`` of each context below its word: ``word`` are places of words, as far as ``known``, ``owner`` names the word of a context."""
         low, high = self.pointers.get(word).astype(np.int64), self.pointers.get(word + 1).astype(np.int64)
         start = np.where(low > 0, self.children.get(np.maximum(low - 1, 0)) + U64(1), U64(0))
-        place, there = self.children.find(start + ids.astype(U64))
-        return place, met & there & (place >= low) & (place < high)
+        place, found = np.zeros(len(context), np.int64), known[owner]
+        asked = np.flatnonzero(found)
+        ids, met = self.contexts.find(context[asked])
+        found[asked] = met
+        asked, ids = asked[met], ids[met]
+        of = owner[asked]
+        place[asked], there = self.children.find(start[of] + ids.astype(U64))
+        found[asked] = there & (place[asked] >= low[of]) & (place[asked] < high[of])
+        return place, found

@@ -1,8 +1,10 @@
 """Operators against plain versions of what they compute."""
 
+import hashlib
 import random
 import re
 from collections import defaultdict
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -144,13 +146,17 @@ def test_toxic_words_are_learned():
 
 
 @pytest.mark.parametrize("text, spans", [
-    ("mail a.b@c.de and @a.b x@y@z.w.", "email:5:13,email:26:31"),
+    ("mail a.b@c.de and @a.b x@y@z.w.", "email:5:13,email:25:30"),  # y@z.w, as the pattern has it
     ("10.0.0.1 300.1.1.1 1.2.3.4.5", "ip:0:8,ip:19:26"),
     ("4111 1111 1111 1111 and 4111 1111 1111 1112", "card:0:19"),
     ("+1 (415) 555-2671 x +1 2", "phone:0:17"),
     ("john [at] mail [dot] com", "email:0:24"), ("jo.do at mail dot com", "email:0:21"), ("see you at mail.com now", ""),
     ("wrіte jоhn@mail.com", "email:6:19,email:8:19"), ("call plus 1 four one five five five five two six seven one", "phone:5:58"),
     ("+1 (415) 555-2671 un an", "phone:0:17"), ("zero @ nothing", ""),
+    ("thanks @jane.doe", ""), ("you at noon dot com", ""), ("jane.doe at example.com", "email:0:23"), ("mail me: jane at example dot com", "email:9:32"),
+    ("see you at jo.do at mail dot com", "email:11:32"), ("jane @ example.com", "email:0:18"), ("jane@ example.com x @example.com", ""), ("a" * 70 + " [at] host dot org", "email:0:88"),
+    (" dot ".join("abcdefgh") + " at h1.x.y.z.w.v.u", "email:0:61"), ("192[.]168[.]0[.]1", "ip:0:17"), ("192 dot 168 dot 0 dot 1", "ip:0:23"), ("10 dot 2 dot 300 dot 4", ""),
+    ("arrive by 10 at example.com", ""), ("0" * 5000 + "1.2.3.4", "ip:0:5007"),
 ])
 def test_identifiers(text, spans):
     plain, found = pii.all_spans(text)
@@ -166,6 +172,34 @@ def test_plain_emails_match_the_pattern():
         assert [m.span() for m in pattern.finditer(t)] == list(pii.emails(t))
 
 
+def plain_by_patterns(text):
+    """Base spans straight from the patterns."""
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    ok = {"email": lambda t: True, "ip": lambda t: all(int(x) <= 255 for x in t.split(".")), "phone": lambda t: 9 <= len(digits(t)) <= 15,
+          "card": lambda t: 13 <= len(digits(t)) <= 19 and sum(sum(map(int, str(int(c) * (1 + k % 2)))) for k, c in enumerate(digits(t)[::-1])) % 10 == 0}
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+                "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    return [(k, m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, text) if ok[k](m[0])]
+
+
+def test_base_spans_and_digests(spark, folder):
+    rng = random.Random(9)
+    made = ["".join(rng.choice(["4", "1", "11", "0", " ", "-", ".", "+", "(", ")", "@", "a", "é", "4111 1111 1111 1111", "10.0.0.2"]) for _ in range(60)) for _ in range(400)]
+    given = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
+    long = ("x " * 50_000 + "jane@example.org ") * 2
+    docs = spark.createDataFrame(list(enumerate([*made, *given, long, None])), "doc_id long, text string")
+    for r in pii.find(docs, ["doc_id", "text"]).collect():
+        base = plain_by_patterns(r.text or "")
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_spans == text and r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(filter(None, text.split(","))) <= set(filter(None, r.spans.split(",")))
+
+
+def test_deobfuscation_takes_linear_time():
+    for unit in ("a dot ", "1 dot ", "at ", "a at ", " ", "one ", "( at ", "a.b."):
+        pii.all_spans("jane (at) host dot org " + unit * 100_000)
+
+
 def test_rewritten_offsets():
     t = pii.homoglyphs(pii.Rewritten("ａ​b"))
     assert t.text == "ab" and t.source(0, 2) == (0, 3)
@@ -179,6 +213,42 @@ def test_best_stretch_against_all_stretches():
         assert sum(s[a:b]) == max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
 
 
+@pytest.mark.parametrize("wrapper, end", [
+    ("<div class='wrapper no-sidebar'>", "</div>"), ("<div class='layout-sidebar-right'>", "</div>"), ("<div class='content overflow-hidden'>", "</div>"),
+    ("<div aria-hidden='false'>", "</div>"), ("<form action='/x'>", "</form>"), ("<section class='search'>", "</section>"), ("<div id='elementor-widget-theme'>", "</div>"),
+])
+@pytest.mark.parametrize("mark", ["article", "main", "div"])
+def test_wrappers_keep_the_article(wrapper, end, mark):
+    body = "A line of words that stands here.<p class='social-history'>A story of people who met.</p><p>See <a href='/hidden/valley?id=share'>the valley</a> at last.</p>"
+    page = f"<body><nav><a href=/>Menu</a></nav>{wrapper}<{mark}><h1>Head of it</h1><p>{body}</{mark}>{end}<footer>Foot</footer></body>"
+    want = "Head of it\n\nA line of words that stands here.\n\nA story of people who met.\n\nSee the valley at last."
+    assert html.Page(page).text({}) == want
+
+
+def test_teasers_beside_an_article_stay_out():
+    teaser = "<div>" + "Read this too, it is a long teaser. " * 4 + "</div>"
+    page = f"<body>{teaser}<article><h1>Head</h1><p>One two three.</p><p>Four.</p></article>{teaser}<div class='site-footer'>All rights are reserved here.</div></body>"
+    for weights in ({}, {"tag p": 4.0, "word p": 4.0}):
+        assert html.Page(page).text(weights) == "Head\n\nOne two three.\n\nFour."
+
+
+def test_names_in_classes_lower_scores():
+    page = "<body><div><p>Some words of the article are here.</p><p>And some more of them.</p></div><div class='post-comments-list'><p>I like this very much.</p></div></body>"
+    assert html.Page(page).text({}) == "Some words of the article are here.\n\nAnd some more of them."
+    assert html.Page("<p>All of it is here.</p><aside>" + "<b>x</b>" * 300 + "</aside><p>And there it goes on.").text({}).endswith("goes on.")
+
+
+def test_learned_tags_stay_bad(spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    weights = html.learn(pages)
+    assert weights and all(w < 0 for f, w in weights.items() if f.startswith("tag ")) and weights["word p"] > 0
+    rows = pages.select("html").collect()
+    for r, text in zip(rows, html.extract(pages, weights, ["page_id", "html"]).collect()):
+        inside = re.search("<article>(.*?)</article>", text.html, re.S)[1]
+        blocks = [" ".join(unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:h1|p)>", inside.replace("<br>", " "))]
+        assert text.text == "\n\n".join(x for x in blocks if x)
+
+
 def test_article_without_its_surroundings():
     page = ("<html><head><title>T</title><script>var t='</p>';</script></head><body><header>Top</header><nav><ul><li><a>One</a></ul></nav><div class=ad>Buy</div>"
             "<article><h1>Head</h1><p><b>First &eacute; part<br>more<p>Second</p><form>Name</form><aside>Side</aside></article><section id='comments'><p>Me too</p></section>"
@@ -222,3 +292,38 @@ def test_shards_are_even_and_edits_small(spark, tmp_path):
     more = sharding.edit_map(first, sizes, 25)
     moved = more.join(first.withColumnRenamed("shard", "old"), "vslot").filter("shard <> old").count()
     assert 4096 / 25 * 0.8 < moved < 4096 / 25 * 2
+
+
+def test_opening_words_and_dense_numbers(spark):
+    items = spark.createDataFrame([
+        (1, "Tom has 12 apples. Mary has 5 apples. How many apples do Tom and Mary have together?"), (2, "Paris is the capital of which European country today"),
+        (3, "Add 12 kg, 13 kg, 14 kg, 15 kg and 16 kg to 17 kg of sand"), (4, "What is the boiling point of water at sea level in degrees")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "Ann has 7 apples. Joe has 9 apples. How many apples do Ann and Joe have together?"),
+        (2, "As they say in class – Paris is the capital of which European country today, and more of that."),
+        (3, "Now we read it out: add 12 kg, 13 kg, 14 kg, 15 kg and 16 kg to 17 kg of sand, they said."),
+        (4, "They ask, what is the boiling point of water at sea level in degrees and go on."),
+        (5, "Ann has 7 apples. Joe has 9 pears. How many plums do Ann and Sue have at home?"), (6, "Rome was the capital of which ancient empire then"),
+        (7, "word " * 200_000 + "Ann has 7 apples. Joe has 9 apples. How many apples do Ann and Joe have together?"), (8, None), (9, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1, "reparameterised"), (2, 2, "verbatim"), (3, 3, "verbatim"), (4, 4, "verbatim"), (7, 1, "reparameterised")}
+
+
+def test_recall_of_reparameterised_problems(spark):
+    rng = random.Random(12)
+    names, things = ["Tom", "Mary", "Ann", "Joe", "Sue", "Omar", "Li", "Eva", "Jonas", "Nadia"], ["apples", "books", "stamps", "coins", "tickets", "marbles"]
+    shapes = ["{0} has {4} {2}. {1} gives {0} {5} more {2} and keeps {6} for a friend. How many {2} does {0} have now?",
+              "A train leaves at {4} and drives {5} km to the town of {0}. How long does {1} wait there if the train is {6} minutes late?",
+              "If {0} buys {4} {2} for {5} dollars each and sells them to {1} for {6} dollars, what is the profit that {0} makes?",
+              "{0} and {1} share {4} {2} so that {0} gets {5} more than {1} does. What share of the {2} is left for {1}?"]
+
+    def problem(shape: str, thing: str) -> str:
+        a, b = rng.sample(names, 2)
+        return shape.format(a, b, thing, "", *rng.sample(range(2, 900), 3))
+
+    kinds = [(s, t) for s in shapes for t in things]
+    items = spark.createDataFrame([(i, problem(*k)) for i, k in enumerate(kinds)], "item_id long, text string")
+    prose = lambda: " ".join(rng.choice(["the", "river", "runs", "past", "old", "mills", "while", "birds", "sing", "over", "green", "fields"]) for _ in range(60)) + ". "
+    docs = [(i, prose() + problem(*k) + " " + prose()) for i, k in enumerate(kinds * 3)] + [(1000 + i, prose() + prose()) for i in range(50)]
+    found = {r.doc_id for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert sum(i in found for i in range(3 * len(kinds))) >= 0.9 * 3 * len(kinds) and not any(i >= 1000 for i in found)

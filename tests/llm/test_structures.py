@@ -162,7 +162,7 @@ def test_trie_finds_pairs(tmp_path):
     known = {tuple(p): c for p, c in zip(pairs.tolist(), counts.tolist())}
     probes = rng.integers(0, 64, (2000, 2)).astype(np.uint64) * np.uint64(2**57)
     place, word_known = there.words.find(probes[:, 0])
-    child, found = there.find_children(place, word_known, probes[:, 1])
+    child, found = there.find_children(place, word_known, np.arange(len(probes)), probes[:, 1])
     assert found.tolist() == [tuple(p) in known for p in probes.tolist()]
     logs = there.codebook[there.codes[child[found]]]
     assert np.allclose(logs, [math.log10(known[tuple(p)]) for p in probes[found].tolist()])
