@@ -61,6 +61,20 @@ def sql(select: str, *ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join((FIXTURES,) + ctes) + "\n" + select
 
 
+def eliminated(name: str, source: str, n: int) -> list[str]:
+    """Steps of Gauss-Jordan elimination of ``source (key, i, j, v)``, ``n`` rows from 0; ``name`` has the solutions in columns ``j >= n``."""
+    steps, last = [], source
+    for k in range(n):
+        into = name if k == n - 1 else f"{name}_{k}"
+        steps.append(f"""
+{into} AS MATERIALIZED (
+  SELECT a.key, a.i, a.j, CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - c.v * b.v / p.v END AS v FROM {last} a
+  JOIN {last} p ON p.key = a.key AND p.i = {k} AND p.j = {k} JOIN {last} b ON b.key = a.key AND b.i = {k} AND b.j = a.j
+  JOIN {last} c ON c.key = a.key AND c.i = a.i AND c.j = {k})""")
+        last = into
+    return steps
+
+
 def query(name: str, oracle: str | None = None):
     def keep(fn):
         if name in QUERIES:

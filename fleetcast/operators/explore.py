@@ -67,8 +67,11 @@ def strong_pairs(matrix: DataFrame, names: tuple[str, ...], cutoff: float = STRO
 
 
 def driver_subsets(drivers_long: DataFrame) -> DataFrame:
-    """Every subset of the drivers as a bitmask and an array, smallest mask first."""
-    names = drivers_long.agg(F.array_sort(F.collect_set("driver")).alias("names"))
-    masks = names.select("names", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2.0), F.size("names")).cast("int") - 1)).alias("mask"))
-    chosen = F.filter("names", lambda n, i: F.col("mask").bitwiseAND(F.pow(F.lit(2.0), i).cast("int")) > 0)
-    return masks.select(F.col("mask").cast("long").alias("mask"), chosen.alias("drivers"), F.size(chosen).cast("long").alias("size"))
+    """Every subset of the drivers as a bitmask and an array; the masks are a range that Spark deals out, at most 62 drivers."""
+    names = sorted(r[0] for r in drivers_long.select("driver").distinct().where("driver IS NOT NULL").collect())  # one per driver column
+    if len(names) > 62:
+        raise ValueError(f"{len(names)} drivers have too many subsets")
+    masks = drivers_long.sparkSession.range(1 << len(names)).withColumnRenamed("id", "mask")
+    held = [F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]
+    drivers = F.array_compact(F.array(*held)) if names else F.array().cast("array<string>")
+    return masks.select("mask", drivers.alias("drivers"), F.size(drivers).cast("long").alias("size"))
