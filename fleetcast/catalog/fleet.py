@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from fleetcast.catalog.base import MONTHLY, MONTHLY_SPAN, query, sql
 from fleetcast.catalog.exploration import _ROUND_PARTS, _parts_sql, _shown
 from fleetcast.catalog.linear import FUTURE, OLS, ROWS, STATS, TWO
-from fleetcast.config import ELASTIC_NET, MLR, RIDGE
+from fleetcast.config import ELASTIC_NET, HOLT_WINTERS, MLR, RIDGE, SARIMA
 from fleetcast.functions.scalars import rounded
 from fleetcast.operators import arima, calendars, explore, metrics, regress, smooth
+from fleetcast.plans import status
 from fleetcast.session import materialize
 from fleetcast.sources import star
 
@@ -37,9 +38,8 @@ def _inputs(spark, d):
     return materialize(star.product_fleet(spark, d, "nation", *MONTHLY_SPAN), "fleet"), materialize(star.driver_monthly(spark, d, *MONTHLY_SPAN), "drivers")
 
 
-def _regions(spark, d):
-    """One series per brand and region: dense enough to have complete windows on small tables."""
-    return materialize(star.product_fleet(spark, d, "region", *MONTHLY_SPAN), "regions")
+def _fleet(spark, d):
+    return materialize(star.product_fleet(spark, d, "nation", *MONTHLY_SPAN), "fleet")
 
 
 @query("s4_product_fleet", sql("SELECT series_id, ds, y FROM product_fleet"))
@@ -101,11 +101,24 @@ def r6_fleet(spark, d):
     return regress.forecast_linear(*_inputs(spark, d), MONTHLY, ELASTIC_NET)
 
 
+@query("v10_fleet_usability", sql("""
+SELECT series_id, n AS rows, CASE WHEN n = 0 THEN 'no training rows' WHEN last <> DATE '2000-06-01' THEN 'ends before the forecast'
+  WHEN n <> date_diff('month', first, DATE '2000-07-01') THEN 'gaps in the training window' END AS reason
+FROM (SELECT series_id, COUNT(*) FILTER (WHERE inside) AS n, MIN(ds) FILTER (WHERE inside) AS first, MAX(ds) FILTER (WHERE inside) AS last FROM (
+        SELECT series_id, ds, ds >= DATE '1996-01-01' AND ds < DATE '2000-07-01' AS inside FROM product_fleet WHERE ds >= DATE '1996-01-01' AND ds < DATE '2001-07-01')
+      GROUP BY 1)"""))
+def fleet_usability(spark, d):
+    """Every series of the fleet with its training rows and why it cannot be forecast, if so."""
+    return status.usability(_fleet(spark, d), MONTHLY)
+
+
 @query("h4_smoothing_fleet")
 def h4_fleet(spark, d):
-    return smooth.holt_winters(_regions(spark, d), MONTHLY)[0]
+    fleet = _fleet(spark, d)
+    return status.with_status(fleet, MONTHLY, smooth.holt_winters(fleet, MONTHLY)[0], HOLT_WINTERS)
 
 
 @query("x7_sarima_fleet")
 def x7_fleet(spark, d):
-    return arima.arima(_regions(spark, d), None, MONTHLY)[0]
+    fleet = _fleet(spark, d)
+    return status.with_status(fleet, MONTHLY, arima.arima(fleet, None, MONTHLY)[0], SARIMA)

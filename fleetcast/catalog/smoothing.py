@@ -86,7 +86,7 @@ best AS (
 
 def _fits(spark, d):
     packed = smooth.packed_series(product_input(spark, d), MONTHLY)
-    return packed, smooth.fit_configurations(packed, MONTHLY, zoom_rounds=0)
+    return packed, smooth.fit_configurations(packed, MONTHLY, zoom_rounds=0, start_rounds=0)
 
 
 @query("h1_configuration_grid", sql("""

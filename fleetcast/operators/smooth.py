@@ -144,23 +144,28 @@ def initial_states(z: np.ndarray, config: dict, m: int):
     return level, slope, season
 
 
-def run(z: np.ndarray, lam: np.ndarray | None, config: dict, m: int, params: np.ndarray, keep: bool = False) -> dict:
+def run(z: np.ndarray, lam: np.ndarray | None, config: dict, m: int, params: np.ndarray, keep: bool = False, start: tuple | None = None) -> dict:
     """Smooth ``z`` (series x time) with every parameter row (series x candidates x 4).
 
-    Errors are summed on the smoothed scale and, for a transform, on the original scale.
+    Errors are summed on the smoothed scale and, for a transform, on the original scale. ``start`` gives level, slope and season of each
+    candidate, and ``z`` and ``lam`` may then differ by candidate too (series x candidates x time).
     """
-    level, slope, season = initial_states(z, config, m)
     n_series, n_par = params.shape[0], params.shape[1]
     a, b, g, phi = (params[:, :, i] for i in range(4))
-    l = np.repeat(level[:, None], n_par, axis=1)
-    tr = np.repeat(slope[:, None], n_par, axis=1)
-    s = np.repeat(season[:, None, :], n_par, axis=1)
+    if start is None:
+        level, slope, season = initial_states(z, config, m)
+        l = np.repeat(level[:, None], n_par, axis=1)
+        tr = np.repeat(slope[:, None], n_par, axis=1)
+        s = np.repeat(season[:, None, :], n_par, axis=1)
+    else:
+        l, tr, s = (v.copy() for v in start)
+        level, slope = l[:, 0].copy(), tr[:, 0].copy()
     sse, sse_raw = np.zeros((n_series, n_par)), np.zeros((n_series, n_par))
     fits = []
-    lam2 = None if lam is None else lam[:, None]
+    lam2 = None if lam is None else lam if lam.ndim == 2 else lam[:, None]
     with np.errstate(all="ignore"):
-        for t in range(z.shape[1]):
-            y, pos = z[:, t, None], t % m
+        for t in range(z.shape[-1]):
+            y, pos = z[:, t, None] if z.ndim == 2 else z[:, :, t], t % m
             if config["trend"] == "add":
                 q = l + phi * tr
             elif config["trend"] == "mul":
@@ -197,7 +202,7 @@ def run(z: np.ndarray, lam: np.ndarray | None, config: dict, m: int, params: np.
         sse_raw = sse
     out = {"sse": np.where(np.isfinite(sse), sse, np.inf), "sse_raw": np.where(np.isfinite(sse_raw), sse_raw, np.inf)}
     if keep:
-        nxt = z.shape[1] % m
+        nxt = z.shape[-1] % m
         out |= {"fit": np.stack(fits, axis=1), "level": l[:, 0], "slope": tr[:, 0],
                 "season": np.concatenate([s[:, 0, nxt:], s[:, 0, :nxt]], axis=1),
                 "level0": level, "slope0": slope}
@@ -215,12 +220,105 @@ def _zoom(best: np.ndarray, config: dict, shrink: float) -> np.ndarray:
     return around
 
 
+START_ROUNDS = 12  # rounds of the pattern search for start values
+STEP_SHRINK = 0.5
+
+
+class Search:
+    """Pattern search over smoothing parameters, start values and exponent, for all series of a block at once.
+
+    A point is ``alpha, beta, gamma, phi, level, slope, season (m values), exponent``. In a round every coordinate is moved both ways; a series
+    goes to the best of these points and of the point with all gains together. Coordinates without a gain get smaller steps.
+    The squared error on the original scale never rises.
+    """
+
+    def __init__(self, y: np.ndarray, lam: np.ndarray | None, config: dict, m: int, best: np.ndarray):
+        self.y, self.config, self.m, self.box_cox = y, config, m, lam is not None
+        z = y if lam is None else _transform(y, lam[:, None])
+        level, slope, season = initial_states(z, config, m)
+        exponent = np.zeros(len(y)) if lam is None else lam
+        self.point = np.column_stack([best, level, slope, season, exponent])
+        spread = np.maximum(np.nan_to_num(z.std(axis=1)), 1e-12)[:, None]
+        ones = np.ones_like(spread)
+        additive = config["season"] == "add"
+        self.steps = np.hstack([
+            ones * [[STEPS[n] for n in ("alpha", "beta", "gamma", "phi")]], 0.2 * spread, 0.2 * spread / m if config["trend"] == "add" else 0.01 * ones,
+            np.repeat(0.2 * spread if additive else 0.05 * ones, m, axis=1), 0.125 * ones])
+        self.free = np.array([True, bool(config["trend"]), bool(config["season"]), config["damped"], True, bool(config["trend"]),
+                              *[bool(config["season"])] * m, self.box_cox])
+        self.loss = self.losses(self.point[:, None, :])[:, 0]
+
+    def starts(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return points[:, :, 4], points[:, :, 5], points[:, :, 6:6 + self.m]
+
+    def losses(self, points: np.ndarray) -> np.ndarray:
+        """Squared error on the original scale of each point (series x points)."""
+        lam = points[:, :, -1] if self.box_cox else None
+        z = _transform(self.y[:, None, :], lam[:, :, None]) if self.box_cox else self.y
+        return run(z, lam, self.config, self.m, points[:, :, :4], start=self.starts(points))["sse_raw"]
+
+    def bounded(self, points: np.ndarray) -> np.ndarray:
+        for i, n in enumerate(("alpha", "beta", "gamma", "phi")):
+            if self.free[i]:
+                points[:, :, i] = np.clip(points[:, :, i], *BOUNDS[n])
+        if self.box_cox:
+            points[:, :, -1] = np.clip(points[:, :, -1], LAMBDAS[0], LAMBDAS[-1])
+        return points
+
+    def rescaled(self, point: np.ndarray, exponent: np.ndarray) -> np.ndarray:
+        """The point with another exponent, its start values carried to the new scale."""
+        old = point[:, -1]
+        carry = lambda v: _transform(_back(v, old if v.ndim == 1 else old[:, None]), exponent if v.ndim == 1 else exponent[:, None])
+        level, slope, season = point[:, 4], point[:, 5], point[:, 6:6 + self.m]
+        with np.errstate(all="ignore"):
+            new = carry(level)
+            add = self.config["trend"] == "add"
+            tr = carry(level + slope) - new if add else carry(level * slope) / new if self.config["trend"] else slope
+            add = self.config["season"] == "add"
+            s = carry(level[:, None] + season) - new[:, None] if add else carry(level[:, None] * season) / new[:, None] if self.config["season"] else season
+        return np.column_stack([point[:, :4], new, tr, s, exponent])
+
+    def round(self) -> None:
+        at, where = np.arange(len(self.y)), np.flatnonzero(self.free)
+        moved = []
+        for i in where:
+            for sign in (1.0, -1.0):
+                if i == len(self.free) - 1:
+                    moved.append(self.rescaled(self.point, np.clip(self.point[:, -1] + sign * self.steps[:, -1], LAMBDAS[0], LAMBDAS[-1])))
+                else:
+                    new = self.point.copy()
+                    new[:, i] += sign * self.steps[:, i]
+                    moved.append(new)
+        points = self.bounded(np.stack(moved, axis=1))
+        loss = self.losses(points)
+        gains = loss < self.loss[:, None]
+        pairs = loss.reshape(len(at), -1, 2)
+        side = pairs.argmin(axis=2)
+        gained = gains.reshape(len(at), -1, 2).any(axis=2)
+        # all gains but that of the exponent at once, whole and by half
+        shift = np.zeros_like(self.point)
+        for j, i in enumerate(where):
+            if i < len(self.free) - 1:
+                shift[:, i] = np.where(gained[:, j], np.where(side[:, j] == 0, 1.0, -1.0) * self.steps[:, i], 0.0)
+        joint = self.bounded(np.stack([self.point + shift, self.point + shift / 2, self.point + shift / 4], axis=1))
+        points, loss = np.concatenate([points, joint], axis=1), np.concatenate([loss, self.losses(joint)], axis=1)
+        best = loss.argmin(axis=1)
+        better = loss[at, best] < self.loss
+        self.point = np.where(better[:, None], points[at, best], self.point)
+        self.loss = np.where(better, loss[at, best], self.loss)
+        self.steps[:, where] = np.where(gained, self.steps[:, where], self.steps[:, where] * STEP_SHRINK)
+
+
 FIT_SCHEMA = ("series_id string, config_id int, alpha double, beta double, gamma double, phi double, lam double, "
-              "sse double, n long, k long, aic double")
+              "sse double, n long, k long, aic double, level0 double, slope0 double, season0 array<double>")
 
 
-def fit_configurations(packed: DataFrame, config: ForecastConfig, zoom_rounds: int = 3) -> DataFrame:
-    """Best parameters and AIC per series and configuration; failures have no row."""
+def fit_configurations(packed: DataFrame, config: ForecastConfig, zoom_rounds: int = 3, start_rounds: int = START_ROUNDS) -> DataFrame:
+    """Best parameters and AIC per series and configuration; failures have no row.
+
+    Parameters come from a grid, refined in ``zoom_rounds``; then ``start_rounds`` of a pattern search also fit start values and exponent.
+    Without such rounds the start values are the usual ones of the first cycles.
+    """
     m = config.season_length
     grid = configurations()
 
@@ -240,7 +338,11 @@ def fit_configurations(packed: DataFrame, config: ForecastConfig, zoom_rounds: i
             best = np.where(better[:, None], params[at, i], best)
             raw = np.where(better, res["sse_raw"][at, i], raw)
             sse = np.where(better, res["sse"][at, i], sse)
-        return best, raw
+        found = Search(y, lam, c, m, best)
+        for _ in range(start_rounds):
+            found.round()
+        kept = found.loss <= raw  # not so where the start failed
+        return np.where(kept[:, None], found.point, np.nan), np.where(kept, found.loss, raw), best
 
     def batches(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
@@ -253,14 +355,17 @@ def fit_configurations(packed: DataFrame, config: ForecastConfig, zoom_rounds: i
                         needs_cycles = c["trend"] is not None or c["season"] is not None
                         if needs_cycles and n < 2 * m:
                             continue
-                        best, sse = fit_one(c, y, lam)
+                        point, sse, grid_best = fit_one(c, y, lam)
+                        best = np.where(np.isnan(point[:, :4]), grid_best, point[:, :4])
+                        exponent = np.where(np.isnan(point[:, -1]), lam, point[:, -1])
                         k = parameter_count(c, m)
                         with np.errstate(all="ignore"):
                             aic = n * np.log(sse / n) + 2 * k
                         out = pd.DataFrame({
                             "series_id": block["series_id"].to_numpy(), "config_id": c["config_id"],
                             "alpha": best[:, 0], "beta": best[:, 1], "gamma": best[:, 2], "phi": best[:, 3],
-                            "lam": lam if c["box_cox"] else None, "sse": sse, "n": n, "k": k, "aic": aic})
+                            "lam": exponent if c["box_cox"] else None, "sse": sse, "n": n, "k": k, "aic": aic,
+                            "level0": point[:, 4], "slope0": point[:, 5], "season0": list(point[:, 6:6 + m])})
                         yield out[np.isfinite(out["aic"].to_numpy(dtype=float))]
 
     return packed.select("series_id", "y", "lam").mapInPandas(batches, FIT_SCHEMA)
@@ -275,10 +380,10 @@ def ranked(fits: DataFrame) -> DataFrame:
 def chosen(packed: DataFrame, fits: DataFrame) -> DataFrame:
     """The configuration with the least AIC per series, or the fixed fallback."""
     best = fits.groupBy("series_id").agg(F.min_by(F.struct(
-        "config_id", "alpha", "beta", "gamma", "phi", "lam", "sse", "aic"), F.struct("aic", "config_id")).alias("b"))
+        "config_id", "alpha", "beta", "gamma", "phi", "lam", "sse", "aic", "level0", "slope0", "season0"), F.struct("aic", "config_id")).alias("b"))
     none = F.struct(F.lit(FALLBACK_CONFIG).alias("config_id"), F.lit(ALPHAS[0]).alias("alpha"), F.lit(BETAS[0]).alias("beta"),
                     F.lit(GAMMAS[0]).alias("gamma"), F.lit(PHIS[0]).alias("phi"), F.lit(None).cast("double").alias("lam"),
-                    F.lit(None).cast("double").alias("sse"), F.lit(None).cast("double").alias("aic"))
+                    *[F.lit(None).cast("double").alias(c) for c in ("sse", "aic", "level0", "slope0")], F.lit(None).cast("array<double>").alias("season0"))
     return packed.drop("lam").join(best, "series_id", "left").withColumn("b", F.coalesce("b", none)).select("series_id", "ds", "y", "b.*")
 
 
@@ -300,7 +405,11 @@ def final_states(winners: DataFrame, config: ForecastConfig) -> DataFrame:
                 lam = same["lam"].to_numpy(dtype=float) if c["box_cox"] else None
                 z = y if lam is None else _transform(y, lam[:, None])
                 params = same[["alpha", "beta", "gamma", "phi"]].to_numpy(dtype=float)[:, None, :]
-                res = run(z, lam, c, m, params, keep=True)
+                usual = initial_states(z, c, m)
+                known = ~same["level0"].isna().to_numpy()
+                given = [np.where(known, same[x].to_numpy(dtype=float), u) for x, u in zip(("level0", "slope0"), usual)]
+                season = np.stack([np.asarray(v, dtype=float) if k else u for v, k, u in zip(same["season0"], known, usual[2])])
+                res = run(z, lam, c, m, params, keep=True, start=(given[0][:, None], given[1][:, None], season[:, None, :]))
                 yield pd.DataFrame({
                     "series_id": same["series_id"].to_numpy(), "config_id": cid, "trend": c["trend"], "damped": c["damped"],
                     "season": c["season"], "box_cox": c["box_cox"],
@@ -335,25 +444,27 @@ def fitted(states: DataFrame) -> DataFrame:
         "series_id", F.col("p.ds").alias("ds"), F.lit(HOLT_WINTERS).alias("method"), F.lit("fit").alias("kind"), F.col("p.fit").alias("yhat"))
 
 
-def parameter_table(states: DataFrame) -> DataFrame:
+def parameter_table(states: DataFrame, m: int) -> DataFrame:
     """Long table of smoothing parameters, initial states, flags and criteria."""
+    # The names of the report's rows. Forecasts carry no correction of bias, and a transform is used exactly where it is chosen.
     numbers = [("smoothing level alpha", "alpha"), ("smoothing trend beta", "beta"), ("damping trend phi", "phi"),
                ("smoothing seasonal gamma", "gamma"), ("initial level l_0", "level0"), ("initial trend t_0", "slope0"),
                ("lambda", "lam"), ("SSE", "sse"), ("AIC", "aic")]
-    texts = [("Trend", "trend"), ("Damped", "damped"), ("Saison", "season"), ("boxcox", "box_cox")]
+    texts = [("boxcox_opti", F.col("box_cox")), ("remove_bias_opti", F.lit(False)), ("Trend", F.col("trend")), ("Damped", F.col("damped")), ("Saison", F.col("season")),
+             ("saisonale Periode", F.lit(m)), ("boxcox", F.col("box_cox"))]
     cells = [F.struct(F.lit(n).alias("name"), F.col(c).alias("value"), F.lit(None).cast("string").alias("text")) for n, c in numbers]
-    cells += [F.struct(F.lit(n).alias("name"), F.lit(None).cast("double").alias("value"), F.coalesce(F.col(c).cast("string"), F.lit("None")).alias("text"))
+    cells += [F.struct(F.lit(n).alias("name"), F.lit(None).cast("double").alias("value"), F.coalesce(c.cast("string"), F.lit("None")).alias("text"))
               for n, c in texts]
     return states.select("series_id", F.lit(HOLT_WINTERS).alias("method"), F.explode(F.array(*cells)).alias("p")).select(
         "series_id", "method", "p.*")
 
 
-def holt_winters(product: DataFrame, config: ForecastConfig, zoom_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def holt_winters(product: DataFrame, config: ForecastConfig, zoom_rounds: int = 3, start_rounds: int = START_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """``(forecast and fit, parameters)`` of the best configuration of every series."""
     packed = packed_series(product, config)
     # One row per series, read by forecast, fit and report: the search runs once.
-    states = materialize(final_states(chosen(packed, fit_configurations(packed, config, zoom_rounds)), config), "smoothing-states")
-    return h_step(states, config).unionByName(fitted(states)), parameter_table(states)
+    states = materialize(final_states(chosen(packed, fit_configurations(packed, config, zoom_rounds, start_rounds)), config), "smoothing-states")
+    return h_step(states, config).unionByName(fitted(states)), parameter_table(states, config.season_length)
 
 
 # -- one given configuration ------------------------------------------------------------

@@ -7,12 +7,13 @@ from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetcast.config import ForecastConfig
+from fleetcast.config import SARIMAX, ForecastConfig
 from fleetcast.functions.dates import add_periods, report_date
 from fleetcast.functions.scalars import unit_rounded
-from fleetcast.operators import calendars, explore, metrics, regress, validate
+from fleetcast.operators import arima, calendars, explore, metrics, regress, validate
 from fleetcast.plans import assemble
 from fleetcast.plans.registry import run_method
+from fleetcast.plans.status import FORECAST, SKIPPED, usability
 from fleetcast.session import materialize
 from fleetcast.sources.sinks import write_bundle
 
@@ -119,6 +120,14 @@ class ForecastRun:
         rounded = unit_rounded(F.col("yhat"), F.lit(self.config.unit))
         return self._method_results[0].withColumn("yhat", rounded)
 
+    def status(self) -> DataFrame:
+        """``(series_id, method, status, reason)``: one row per series and method."""
+        done = self._method_results[0].select("series_id", "method").distinct().withColumn("there", F.lit(True))
+        methods = F.explode(F.array(*[F.lit(m) for m in self.config.methods])).alias("method")
+        every = usability(self.product, self.config).select("series_id", "reason", methods).join(done, ["series_id", "method"], "left")
+        return every.select("series_id", "method", F.when(F.col("there"), FORECAST).otherwise(SKIPPED).alias("status"),
+                            F.when(F.col("there").isNull(), F.coalesce("reason", F.lit("no model fits"))).alias("reason"))
+
     @property
     def parameters(self) -> DataFrame:
         return self._method_results[1]
@@ -138,7 +147,9 @@ class ForecastRun:
         return metrics.score(fit, metrics.FIT_METRICS)
 
     def contributions(self, method: str) -> DataFrame:
-        """Driver contributions of a linear method; other methods are refused."""
+        """Driver contributions of a linear method, or of the one with exogenous variables; other methods are refused."""
+        if method == SARIMAX:
+            return arima.driver_contributions(self.product, self.drivers, self.config)
         models = regress.fit_linear(self.product, self.drivers, self.config, method)
         rows, names = regress.scoring_rows(self.product, self.drivers, self.config)
         return regress.contributions(models, rows, names)
