@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from datetime import datetime, timezone
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +31,58 @@ def local_session(cores: int | str = "*", app: str = "fleetcast") -> SparkSessio
     )
 
 
-def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A new folder every executor can reach.
+@cache
+def _local_folder() -> str:
+    """A folder of this machine, removed when this process ends."""
+    folder = tempfile.mkdtemp(prefix="fleetcast-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local
-    master may fall back to a folder of this machine.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a local master may do without one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="fleetcast-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        base = _local_folder()
+    return base.rstrip("/")
+
+
+_OWNER: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned_tables(spark: SparkSession, keep: bool = False) -> Iterator[str]:
+    """All tables written inside share one folder, which is removed at the end, after a failure too, unless it is to be kept.
+
+    Results that still read these tables have to be written or collected inside. A manifest names the application and its start.
+    """
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    about = {"application": spark.sparkContext.applicationId, "started": datetime.now(timezone.utc).isoformat()}
+    spark.createDataFrame([(k, v) for k, v in about.items()], "name string, value string").coalesce(1).write.json(f"{folder}/manifest")
+    token = _OWNER.set(folder)
+    try:
+        yield folder
+    finally:
+        _OWNER.reset(token)
+        if not keep:
+            remove_folder(spark, folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder where Spark has it, which need not be a file system of the driver."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for a table: in the folder of the run that owns it, or else directly in the shared one."""
+    return f"{_OWNER.get() or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
