@@ -313,12 +313,13 @@ FIT_SCHEMA = ("series_id string, config_id int, alpha double, beta double, gamma
               "sse double, n long, k long, aic double, level0 double, slope0 double, season0 array<double>")
 
 
-def fit_configurations(packed: DataFrame, config: ForecastConfig, zoom_rounds: int = 3, start_rounds: int = START_ROUNDS) -> DataFrame:
+def fit_configurations(packed: DataFrame, config: ForecastConfig, zoom_rounds: int = 3, start_rounds: int | None = None) -> DataFrame:
     """Best parameters and AIC per series and configuration; failures have no row.
 
     Parameters come from a grid, refined in ``zoom_rounds``; then ``start_rounds`` of a pattern search also fit start values and exponent.
-    Without such rounds the start values are the usual ones of the first cycles.
+    Without such rounds the start values are the usual ones of the first cycles. By default there are ``START_ROUNDS``, and none on the bare grid.
     """
+    start_rounds = (START_ROUNDS if zoom_rounds else 0) if start_rounds is None else start_rounds
     m = config.season_length
     grid = configurations()
 
@@ -459,7 +460,7 @@ def parameter_table(states: DataFrame, m: int) -> DataFrame:
         "series_id", "method", "p.*")
 
 
-def holt_winters(product: DataFrame, config: ForecastConfig, zoom_rounds: int = 3, start_rounds: int = START_ROUNDS) -> tuple[DataFrame, DataFrame]:
+def holt_winters(product: DataFrame, config: ForecastConfig, zoom_rounds: int = 3, start_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(forecast and fit, parameters)`` of the best configuration of every series."""
     packed = packed_series(product, config)
     # One row per series, read by forecast, fit and report: the search runs once.
