@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetcast.functions.scalars import finite_or_null, ratio, rounded, signed_ratio
+from fleetcast.session import materialize
 
 KEYS = ["series_id", "method"]
 
@@ -119,5 +120,7 @@ def score_periods(joined: DataFrame, names: tuple[str, ...] | None = None, keys:
 
 
 def report(joined: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Per family: (aggregate table, per-period table)."""
-    return {f: (score(joined, agg), score_periods(joined, (one,))) for f, (agg, one) in FAMILIES.items()}
+    """Per family: (aggregate table, per-period table), selected from two written tables: the rows are read twice in all."""
+    whole = materialize(score(joined, tuple(n for names, _ in FAMILIES.values() for n in names)), "metrics")
+    single = materialize(score_periods(joined, tuple(one for _, one in FAMILIES.values())), "metrics-by-period")
+    return {f: (whole.select(*KEYS, *names), single.select(*KEYS, "ds", one)) for f, (names, one) in FAMILIES.items()}

@@ -39,6 +39,7 @@ SERIES_FEATURES = ("level", "spread")
 class Space:
     """Values per parameter; a candidate number is decoded in mixed radix, last parameter fastest."""
 
+    # The penalties and weights of leaves that are tried.
     method: str
     trees: tuple[int, ...]
     depth: tuple[int | None, ...]
@@ -64,6 +65,7 @@ def _even(first: int, last: int, n: int) -> tuple[int, ...]:
     return tuple(int(first + (last - first) * i / (n - 1)) for i in range(n))
 
 
+# Tree counts, depths and learning rates that are tried.
 FOREST_SPACE = Space(RANDOM_FOREST, _even(100, 2000, 10), (2, 4, 6, 8, 10), (1.0,))
 BOOSTING_SPACE = Space(BOOSTING, _even(100, 1000, 10), (2, 4, 6, None), (0.1, 0.2, 0.5))
 

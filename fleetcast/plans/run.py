@@ -155,7 +155,7 @@ class ForecastRun:
         return regress.contributions(models, rows, names)
 
     def tables(self) -> dict[str, DataFrame]:
-        """All report tables by name."""
+        """All report tables by name. The names."""
         c = self.config
         test_drivers = self.drivers.join(
             calendars.horizon_dates(self.drivers.select(F.lit("d").alias("series_id")), c).select("ds"), "ds", "left_semi")
