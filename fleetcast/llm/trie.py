@@ -95,11 +95,14 @@ class EliasFano:
         place = np.minimum(start, self.n)
         end = np.minimum(self._select(self.zeros, self.high, True, np.minimum(bucket, self.zeros[-1] - 1)) - bucket, self.n)
         low = x & U64((1 << self.width) - 1)
-        todo = np.flatnonzero(place < end)
+        upto = end.copy()  # by halves, as a bucket can hold many children of one word
+        todo = np.flatnonzero(place < upto)
         while len(todo):
-            todo = todo[self._lows(place[todo]) < low[todo]]
-            place[todo] += 1
-            todo = todo[place[todo] < end[todo]]
+            middle = (place[todo] + upto[todo]) >> 1
+            right = self._lows(middle) < low[todo]
+            place[todo[right]] = middle[right] + 1
+            upto[todo[~right]] = middle[~right]
+            todo = todo[place[todo] < upto[todo]]
         return place, end, low
 
     def successor(self, x: np.ndarray) -> np.ndarray:
