@@ -27,8 +27,8 @@ from fleetcast.llm.trie import Trie
 from fleetcast.session import materialize
 
 MU = 500.0
-CHUNK = 2_500_000  # tokens whose pairs are gathered before they are sent
-SHARD_BYTES = 24_000_000  # training text per shard
+CHUNK = 1_200_000  # tokens whose pairs are gathered before they are sent
+SHARD_BYTES = 20_000_000  # training text per shard
 HEAVY = 24  # a word is spread if it has one occurrence per so many bytes of a shard's text
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 CONTEXT_BITS = np.uint64(16)  # dropped from a context's hash
