@@ -7,7 +7,7 @@ the centroid with the largest cosine, and is marked as rejected if it is farther
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,6 +108,74 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", key: st
     return CentroidModel(languages, np.array(owner), np.array(centroids, np.float32), np.array(floor), idf)
 
 
+def refined(model: CentroidModel, rows: DataFrame, text_col: str = "text", lang_col: str = "lang", rounds: int = 1) -> CentroidModel:
+    """The model with weights and centroids of all labelled rows, started from the given centroids; it rejects nothing.
+
+    Counts of texts by bin give the weights. In each round of spherical k-means every text joins the nearest centroid of its language, and
+    Spark adds the texts up by centroid and bin. A language that the model lacks starts with the mean of its texts. Sums, as many as the
+    model has numbers, reach the driver. Rows without text, letter or language are left out.
+    """
+    known = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+
+    def added(values: Callable[[pa.Array, list[str]], Iterator[tuple[str, int, np.ndarray]]]) -> dict[tuple[str, int], np.ndarray]:
+        """Sums of the vectors that ``values`` gives for ``(language, number)`` in each part of the rows."""
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[str, int], np.ndarray] = {}
+            for batch in batches:
+                for part in pieces(batch, "text", rows=256):
+                    for lang, j, v in values(part.column(1), part.column(0).to_pylist()):
+                        sums[lang, j] = sums[lang, j] + v if (lang, j) in sums else v
+            for (lang, j), v in sums.items():
+                at = np.flatnonzero(v)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), j, np.int32)), pa.array(at.astype(np.int32)), pa.array(v[at])],
+                                                 ["lang", "number", "bin", "value"])
+
+        got = known.mapInArrow(scan, "lang string, number int, bin int, value double").groupBy("lang", "number", "bin").agg(F.sum("value").alias("value")).toPandas()
+        out = {}
+        for (lang, j), part in got.groupby(["lang", "number"]):
+            out[lang, int(j)] = np.zeros(BINS + 1)
+            out[lang, int(j)][part["bin"].to_numpy()] = part["value"].to_numpy()
+        return out
+
+    def counted(texts: pa.Array, langs: list[str]) -> Iterator[tuple[str, int, np.ndarray]]:
+        """0: texts with a bin, and in the last place all; 1: sums of the unit vectors before weights."""
+        tf, owner = counts(texts), np.array(langs, object)
+        root = vectors(tf, np.ones(BINS, np.float32)) if not set(langs) <= started else None
+        for lang in set(langs):
+            own = owner == lang
+            yield lang, 0, np.append((tf[own] > 0).sum(0), own.sum()).astype(float)
+            if lang not in started:
+                yield lang, 1, np.append(root[own].sum(0), 0).astype(float)
+
+    started = set(model.languages)
+    found = added(counted)
+    if not found:
+        return model
+    n = sum(v for (_, j), v in found.items() if j == 0)
+    idf = np.log((1 + n[BINS]) / (0.5 + n[:BINS])).astype(np.float32)
+    centroids = {lang: model.centroids[model.owner == i] for i, lang in enumerate(model.languages)}
+    for (lang, j), v in found.items():
+        if j == 1:
+            c = (v[:BINS] * idf)[None, :]
+            centroids[lang] = (c / max(np.linalg.norm(c), 1e-9)).astype(np.float32)
+    for _ in range(rounds):
+        def joined(texts: pa.Array, langs: list[str]) -> Iterator[tuple[str, int, np.ndarray]]:
+            x, owner = vectors(counts(texts), idf), np.array(langs, object)
+            for lang in set(langs):
+                own = x[owner == lang]
+                nearest = (own @ centroids[lang].T).argmax(1)
+                for j in np.unique(nearest):
+                    yield lang, int(j), np.append(own[nearest == j].sum(0), 0).astype(float)
+
+        for (lang, j), v in added(joined).items():
+            c = centroids[lang].copy()
+            c[j] = v[:BINS] / max(np.linalg.norm(v[:BINS]), 1e-9)
+            centroids[lang] = c
+    languages = sorted(centroids)
+    owner = np.repeat(np.arange(len(languages)), [len(centroids[x]) for x in languages])
+    return CentroidModel(languages, owner, np.concatenate([centroids[x] for x in languages]), np.zeros(len(owner)), idf)
+
+
 def identify(docs: DataFrame, model: CentroidModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` and ``lang_pred, score, rejected`` of every row, from its whole text.
 
