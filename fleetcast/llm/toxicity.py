@@ -358,8 +358,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         net.embedding[:, 0] += evidence(weighed(mine), taught)
         copies = np.ceil(sum(n.values()) / SHARD_ROWS)
         rounds = int(np.clip(np.ceil(STEPS * BATCH * copies / taught.sum()), *ROUNDS))
-        for _ in range(rounds):
-            net = averaged(mine, net, float(np.clip(taught[1] / taught.sum(), 0.02, 0.98)))
+        for r in range(rounds):  # a copy's first steps are the largest, so later rounds take smaller ones
+            net = averaged(mine, net, float(np.clip(taught[1] / taught.sum(), 0.02, 0.98)), 0.01 / (1 + r))
     net = settled(net)
     if lang_col:
         named = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
