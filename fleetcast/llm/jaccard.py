@@ -390,10 +390,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         filled = rows.filter("n > 0")
         classes = filled.groupBy("cls", "other", "n").agg(F.min("id").alias("id"), F.min(F.struct("id", "th")).alias("first"), F.min("sketch").alias("sketch"))
         classes = materialize(classes, "classes")
-        if not classes.groupBy("cls").count().filter("count > 1").head(1):
+        most, largest = classes.groupBy("cls").agg(F.count("*").alias("k"), F.max("n").alias("n")).agg(F.max("k"), F.max("n")).first()
+        if (most or 0) <= 1:
             break
         salt += 1
-    bands = Bands(percent, classes.agg(F.max("n")).first()[0] or 1)
+    bands = Bands(percent, largest or 1)
     edges = F.lit(0)
     for low in bands.low[1:]:
         edges = edges + (F.col("n") >= low).cast("int")
@@ -404,20 +405,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     shared = distinct_entries(materialize(shared.filter("a <> z").select("entry", "cls").distinct(), "shared-entries"))
     first = shared.groupBy("entry").agg(F.min("cls").alias("a"))
     pairs = materialize(shared.join(first, "entry").filter("cls <> a").groupBy(F.col("cls").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
-    repeated = bool(filled.groupBy("id", "th").count().filter("count > 1").head(1))
-    links, tried = None, None
-    for step in range(ROUNDS + 2):
-        if pairs.head(1):
-            similar = verified(pairs, classes, docs, id_col, text_col, words, percent, repeated)
+    repeated = (filled.groupBy("id", "th").count().agg(F.max("count")).first()[0] or 0) > 1
+    links, tried, found, step = None, pairs, None, 0
+    while True:
+        similar = verified(pairs, classes, docs, id_col, text_col, words, percent, repeated) if pairs.head(1) else pairs
+        new = links is None or bool(similar.head(1))
+        if new:  # else the components stay, and what they have across has been tried
             links = similar if links is None else links.unionByName(similar)
-            tried = pairs if tried is None else tried.unionByName(pairs)
-        elif links is None:
-            links = tried = pairs
-        found = graph.components(links)
-        if step <= ROUNDS:
-            labelled = with_labels(shared, found)
-            pairs = across(labelled) if step < ROUNDS else crossing(labelled, classes, percent)
-            pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
+            found = graph.components(links)
+            labelled = with_labels(shared, found) if step <= ROUNDS else None
+        if step > ROUNDS:
+            break
+        step = step + 1 if new and step < ROUNDS else ROUNDS + 1
+        pairs = across(labelled) if step <= ROUNDS else crossing(labelled, classes, percent)
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
+        tried = tried.unionByName(pairs)
     ids = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "id", F.coalesce("label", "cls").alias("label"))
     smallest = materialize(ids.groupBy("label").agg(F.min("id").alias("component_id")), "component-ids")
     of_class = materialize(materialize(ids.select("cls", "label"), "class-labels").join(smallest, "label").select("cls", F.col("label").alias("component"), "component_id"), "class-components")

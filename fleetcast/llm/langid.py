@@ -91,10 +91,12 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", key: st
     languages = sorted(set(got.lang))
     if not languages:
         return CentroidModel([], np.zeros(0, int), np.zeros((0, BINS), np.float32), np.zeros(0), np.zeros(BINS, np.float32))
-    root = np.frombuffer(b"".join(got.root), np.float16).reshape(len(got), BINS).astype(np.float32)
-    idf = np.log((1 + len(root)) / (0.5 + (root > 0).sum(0))).astype(np.float32)
-    x = root * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+    x = np.frombuffer(b"".join(got.root), np.float16).reshape(len(got), BINS).astype(np.float32)
+    got = got[["lang"]]  # the vectors are held once, and weighed in place
+    idf = np.log((1 + len(x)) / (0.5 + (x > 0).sum(0))).astype(np.float32)
+    x *= idf
+    for i in range(0, len(x), 256):
+        x[i:i + 256] /= np.maximum(np.linalg.norm(x[i:i + 256], axis=1), 1e-9)[:, None]
     owner, centroids, floor = [], [], []
     for i, lang in enumerate(languages):
         own = x[(got.lang == lang).to_numpy()]
@@ -130,7 +132,7 @@ def refined(model: CentroidModel, rows: DataFrame, text_col: str = "text", lang_
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), j, np.int32)), pa.array(at.astype(np.int32)), pa.array(v[at])],
                                                  ["lang", "number", "bin", "value"])
 
-        got = known.mapInArrow(scan, "lang string, number int, bin int, value double").groupBy("lang", "number", "bin").agg(F.sum("value").alias("value")).toPandas()
+        got = known.mapInArrow(scan, "lang string, number int, bin int, value double").groupBy("lang", "number", "bin").agg(F.sum("value").alias("value")).toArrow().to_pandas()
         out = {}
         for (lang, j), part in got.groupby(["lang", "number"]):
             out[lang, int(j)] = np.zeros(BINS + 1)

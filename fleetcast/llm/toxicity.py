@@ -290,34 +290,44 @@ def averaged(sample: DataFrame, net: Network, share: float, rate: float = 0.01)
     """The network after a round: every task trains a copy of it on all its texts, and Spark averages what the copies changed.
 
     A change weighs as many steps as made it, so that an embedding keeps what the tasks that have its words learned.
-    Only changes reach the driver, one row an embedding.
+    Only changes reach the driver, one row an embedding. The network is sent to the tasks for one round and then taken back, so that the
+    driver holds one copy of it, however many rounds there are.
     """
+    sent = sample.sparkSession.sparkContext.broadcast(net.__getstate__())
     dim = net.embedding.shape[1]
     names = [f"d{i}" for i in range(dim)]
 
-    def changes(copy: Network, steps: np.ndarray, done: int) -> pa.RecordBatch:
+    def changes(copy: Network, start: Network, steps: np.ndarray, done: int) -> pa.RecordBatch:
         rows = np.flatnonzero(steps)
-        flat = np.concatenate([(a - b).ravel() for a, b in zip(copy.dense(), net.dense())] + [[copy.out_bias - net.out_bias]])
+        flat = np.concatenate([(a - b).ravel() for a, b in zip(copy.dense(), start.dense())] + [[copy.out_bias - start.out_bias]])
         flat = np.pad(flat, (0, -len(flat) % dim)).reshape(-1, dim)
-        change = np.concatenate([copy.embedding[rows] - net.embedding[rows], flat]).astype(float)
+        change = np.concatenate([copy.embedding[rows] - start.embedding[rows], flat]).astype(float)
         at = np.concatenate([rows, BUCKETS + 1 + np.arange(len(flat))]).astype(np.int32)
         weight = np.concatenate([steps[rows], np.full(len(flat), done)]).astype(float)
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight), *[pa.array(c) for c in (change * weight[:, None]).T]], ["row", "weight", *names])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        copy, adam, steps = deepcopy(net), Adam(rate), np.zeros(BUCKETS + 1, np.int64)
+        start = Network.__new__(Network)
+        start.__setstate__(sent.value)
+        copy, adam, steps = deepcopy(start), Adam(rate), np.zeros(BUCKETS + 1, np.int64)
         for g in groups_of(batches):
             steps[step(copy, g, adam, share)] += 1
         if adam.t:
-            yield changes(copy, steps, adam.t)
+            yield changes(copy, start, steps, adam.t)
 
     schema = "row int, weight double, " + ", ".join(f"{c} double" for c in names)
     mean = [(F.sum(c) / F.sum("weight")).cast("float").alias(c) for c in names]
-    got = sample.select("text", "y").mapInArrow(scan, schema).groupBy("row").agg(*mean).orderBy("row").toArrow()
-    at, change = got.column(0).to_numpy(), np.stack([got.column(c).to_numpy() for c in names], 1)
-    inner = at <= BUCKETS
-    net.embedding[at[inner]] += change[inner]
-    flat = change[~inner].ravel()
+    try:
+        got = sample.select("text", "y").mapInArrow(scan, schema).groupBy("row").agg(*mean).toArrow()
+    finally:
+        sent.destroy()
+    at, by_dim = got.column(0).to_numpy(), [got.column(c).to_numpy() for c in names]
+    inner = np.flatnonzero(at <= BUCKETS)
+    for j, change in enumerate(by_dim):
+        net.embedding[at[inner], j] += change[inner]
+    last = np.flatnonzero(at > BUCKETS)
+    last = last[at[last].argsort()]
+    flat = np.stack([change[last] for change in by_dim], 1).ravel()
     for weights in net.dense():
         weights += flat[:weights.size].reshape(weights.shape)
         flat = flat[weights.size:]
