@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetcast.session import materialize
+from fleetcast.session import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,6 +20,8 @@ def components(links: DataFrame) -> DataFrame:
         lower = materialize(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "lower")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
         stepped = materialize(lower.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
+        discard(lower, labels)
+        labels = stepped
         if not stepped.filter("label <> old").head(1):
+            discard(both)
             return stepped.select("node", "label")
-        labels = stepped.select("node", "label")

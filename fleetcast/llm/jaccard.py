@@ -10,11 +10,15 @@ the others make up for. Candidates are pruned by a bound on the difference and t
 Equal sets are one class before anything is joined. Candidates come in rounds: each class with the first class of its
 index entries; then, within entries that still hold several components, each class with one of another component; at last all
 pairs across components. So a group of near copies costs its size and not its square, and no link between components is lost.
+
+On disk: index entries of open entries meet in waves, each of which shuffles at most a few bytes for a shingle of the corpus; texts go to
+groups of classes that are compared among each other, not to pairs; tables go when nothing reads them any more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +26,19 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fleetcast.llm import graph
 from fleetcast.llm.texts import ASCII_LOWER, SPACE, SpanHash, buffers, mixed, pieces, runs, without
-from fleetcast.session import materialize
+from fleetcast.session import discard, materialize
 
 WORDS = 4
 PERCENT = 85
 SKETCH = 128
-WIDE, LARGE = 1024, 3000  # buckets of the sketches of larger sets, whose differences in few buckets would cancel out
+WIDE, LARGE = 1024, 1500  # buckets of the sketches of larger sets, whose differences in few buckets would cancel out
 BROADCAST_ROWS = 1_000_000  # ids of 16 bytes: a list of at most this many is sent to every task
 SLACKS = (*range(9), *range(10, 24, 2), *range(24, 65, 8), *range(96, 193, 32))  # weights beyond the difference that the allocation chooses from
 BLOCK = 4096  # classes of an entry that are compared at once
 ROUNDS = 2  # in which each index row meets one of another component, before all pairs that are left are compared
 FIRST = 32  # entries that a class lists
+WAVE = 4  # bytes that a wave of index rows shuffles, for each shingle of the corpus
+GROUP = 1 << 18  # shingles of the classes whose texts are compared at once
 REMEMBERED = 1 << 18  # classes a task remembers, so that copies are indexed about once per task
 
 
@@ -184,11 +190,20 @@ class Sketches:
     def __init__(self, values: list[bytes]):
         counts = [np.frombuffer(v, np.uint8).astype(np.int16) for v in values]
         self.narrow = np.array([np.minimum(c.reshape(-1, SKETCH).sum(0), 255) for c in counts], np.int16).reshape(-1, SKETCH)
-        self.wide = {i: c for i, c in enumerate(counts) if len(c) == WIDE}
-
-    def gap(self, i: int, other: Sketches, j: int) -> int:
-        """The difference of two sets that are both large by their wide sketches, else 0."""
-        return int(np.abs(self.wide[i] - other.wide[j]).sum()) if i in self.wide and j in other.wide else 0
+        large = [i for i, c in enumerate(counts) if len(c) == WIDE]
+        self.wide = np.array([counts[i] for i in large], np.int16).reshape(-1, WIDE)
+        self.place = np.full(len(counts), -1)
+        self.place[large] = np.arange(len(large))
+
+    def gaps(self, i: np.ndarray, other: Sketches, j: np.ndarray) -> np.ndarray:
+        """For each ``i`` and ``j`` the difference of two sets that are both large by their wide sketches, else 0."""
+        p, q = self.place[i], other.place[j]
+        out = np.zeros(len(p), np.int64)
+        both = np.flatnonzero((p >= 0) & (q >= 0))
+        for k in range(0, len(both), 1024):
+            at = both[k:k + 1024]
+            out[at] = np.abs(self.wide[p[at]] - other.wide[q[at]]).sum(1)
+        return out
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, salt: int) -> DataFrame:
@@ -247,30 +262,49 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
             if batch.num_rows:
                 n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
                 x, y = (Sketches(batch.column(k).to_pylist()) for k in (4, 5))
-                gap = np.maximum(np.abs(x.narrow - y.narrow).sum(1), [x.gap(i, y, i) for i in range(len(n))])
+                gap = np.maximum(np.abs(x.narrow - y.narrow).sum(1), x.gaps(np.arange(len(n)), y, np.arange(len(n))))
                 ok = gap * (100 + percent) <= n * (100 - percent)
                 yield batch.select([0, 1]).filter(pa.array(ok))
 
     kept = materialize(near.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(bounded, "a long, b long"), "near-pairs")
-    need = materialize(kept.select(F.col("a").alias("cls")).union(kept.select("b")).distinct().join(classes.select("cls", "first"), "cls").select("cls", F.col("first.id").alias("id"), F.col("first.th").alias("th")), "need")
-    need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+    ends = kept.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(kept.select("b", "a"))
+    leaders = ends.groupBy("cls").agg(F.least(F.min("other"), F.col("cls")).alias("leader"))
+    need = materialize(leaders.join(classes.select("cls", "n", "first"), "cls").select("cls", "leader", "n", F.col("first.id").alias("id"), F.col("first.th").alias("th")), "need")
+    parts = need.groupBy("leader").agg(F.ceil(F.sum("n") / GROUP).alias("parts"))
+    group = F.xxhash64("leader", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    groups = need.join(parts, "leader").select("cls", group.alias("group"))
+    met = kept.join(groups.select(F.col("cls").alias("a"), F.col("group").alias("p")), "a").join(groups.select(F.col("cls").alias("b"), F.col("group").alias("q")), "b")
+    met = materialize(met.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "a", "b"), "met-groups")
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    texts = named.join(need, named["th"].eqNullSafe(need["th"]) & named["id"].eqNullSafe(need["id"])).select("cls", "text")
+    wanted = need.select("cls", F.col("id").alias("__id"), F.col("th").alias("__th"))
+    wanted = F.broadcast(wanted) if need.count() <= BROADCAST_ROWS else wanted
+    texts = named.join(wanted, named["th"].eqNullSafe(wanted["__th"]) & named["id"].eqNullSafe(wanted["__id"])).select("cls", "text")
     texts = materialize(texts.dropDuplicates(["cls"]) if repeated else texts, "texts")
-    both = kept.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
+    sent = met.select("p", "q", F.col("a").alias("cls")).union(met.select("p", "q", "b")).distinct().join(texts, "cls")
+    none = F.lit(None)
+    rows = sent.select("p", "q", F.col("cls").alias("a"), none.cast("long").alias("b"), "text").union(met.select("p", "q", "a", "b", none.cast("string")))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)  # few bytes, but many comparisons
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, sets = None, {}
         for batch in batches:
-            for part in pieces(batch, "x"):
-                x, y = ShingleSets(part.column(2), words), ShingleSets(part.column(3), words)
-                ok = []
-                for i in range(part.num_rows):
-                    p, q = x.tokens[x.at[i]:x.at[i + 1]], y.tokens[y.at[i]:y.at[i + 1]]
-                    same = len(np.intersect1d(p, q, assume_unique=True))
-                    ok.append(100 * same >= percent * (len(p) + len(q) - same))
-                yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "similar")
+            for part in pieces(batch, "text"):
+                s = ShingleSets(part.column(4), words)
+                ok = np.zeros(part.num_rows, bool)
+                for i, (p, q, a, b) in enumerate(zip(*(part.column(k).to_pylist() for k in range(4)))):
+                    if (p, q) != here:
+                        here, sets = (p, q), {}
+                    if b is None:
+                        sets[a] = s.tokens[s.at[i]:s.at[i + 1]].copy()
+                        continue
+                    x, y = sets[a], sets[b]
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    ok[i] = 100 * same >= percent * (len(x) + len(y) - same)
+                yield part.select([2, 3]).filter(pa.array(ok))
+
+    similar = materialize(rows.repartition(tasks, "p", "q").sortWithinPartitions("p", "q", F.col("b").asc_nulls_first()).mapInArrow(compared, "a long, b long"), "similar")
+    discard(kept, need, met, texts)
+    return similar
 
 
 def distinct_entries(shared: DataFrame) -> DataFrame:
@@ -296,7 +330,8 @@ def across(labelled: DataFrame) -> DataFrame:
 def crossing(labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs ``a < b`` of an entry's classes in different components that sizes and sketches do not rule out.
 
-    Entries are compared inside tasks, block against block, so that a task's rows do not grow with the square of an entry.
+    Entries are compared inside tasks, block against block, so that a task's rows do not grow with the square of an entry, and in waves, as
+    the rows carry sketches and may be many for each class.
     Similar sets share most of their entries. So that a pair is not named once for each, classes carry the first ``FIRST`` of their open entries, and
     an entry leaves a pair out if both lists have an earlier one: if two lists meet at all, their first meeting is the pair's first common entry, which names it.
     """
@@ -305,35 +340,33 @@ def crossing(labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     order = W.partitionBy("cls").orderBy("entry")
     lists = rows.select("cls", "entry").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= FIRST)
     lists = lists.groupBy("cls").agg(F.sort_array(F.collect_list("entry")).alias("firsts"))
-    facts = classes.select("cls", "n", "sketch").join(lists, "cls")
-    rows = rows.join(facts, "cls")
+    facts = materialize(classes.select("cls", "n", "sketch").join(lists, "cls"), "open-classes")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    carried = F.octet_length("sketch") + 8 * F.size("firsts") + 64
+    most = rows.groupBy("cls").agg(F.sum(blocks).alias("rows")).join(facts.select("cls", carried.alias("bytes")), "cls").agg(F.sum(F.col("rows") * F.col("bytes"))).first()[0]
+    waves = -(-(most or 0) // (WAVE * (classes.agg(F.sum("n")).first()[0] or 1))) or 1
     mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("entry", F.least("mine", "j").alias("i"), F.greatest("mine", "j").alias("j"), "mine", "cls", "label", "n", "sketch", "firsts")
+    spread = rows.withColumn("mine", mine).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = spread.select("entry", F.least("mine", "j").alias("i"), F.greatest("mine", "j").alias("j"), "mine", "cls", "label")
 
-    def compare(unit: list[np.ndarray], sketches: list[bytes], firsts: np.ndarray) -> tuple[list[int], list[int]]:
+    def compare(unit: list[np.ndarray], sketches: list[bytes], firsts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         entry, i, j, mine, cls, label, n = unit
         both = Sketches(sketches)
         sketch = both.narrow
         left, right = (np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0]))
-        out_a, out_b = [], []
         for start in range(0, len(left), 16):
             x = left[start:start + 16]
             gap = np.abs(sketch[x][:, None, :] - sketch[right][None, :, :]).sum(2)
             small, large = np.minimum(n[x][:, None], n[right][None, :]), np.maximum(n[x][:, None], n[right][None, :])
             ok = (label[x][:, None] != label[right][None, :]) & (100 * small >= percent * large) & (gap * (100 + percent) <= (small + large) * (100 - percent))
             r, c = np.nonzero(ok)
-            wide = np.array([both.gap(p, both, q) for p, q in zip(x[r].tolist(), right[c].tolist())], np.int64)
-            near = wide * (100 + percent) <= (small + large)[r, c] * (100 - percent)
+            near = both.gaps(x[r], both, right[c]) * (100 + percent) <= (small + large)[r, c] * (100 - percent)
             p, q = x[r[near]], right[c[near]]
             for s in range(0, len(p), 1024):
                 a, b = firsts[p[s:s + 1024]], firsts[q[s:s + 1024]]
                 earlier = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] < entry[0])).any((1, 2))
                 mine_p, mine_q = cls[p[s:s + 1024][~earlier]], cls[q[s:s + 1024][~earlier]]
-                out_a += np.minimum(mine_p, mine_q).tolist()
-                out_b += np.maximum(mine_p, mine_q).tolist()
-        return out_a, out_b
+                yield np.minimum(mine_p, mine_q), np.maximum(mine_p, mine_q)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -366,15 +399,24 @@ def crossing(labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         first = np.full((len(lengths), FIRST), np.iinfo(np.int64).max)  # places that are not filled are never earlier than an entry
         first[np.arange(FIRST) < lengths[:, None]] = lists.flatten().to_numpy()
         cuts = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
-        a, b = [], []
+        found, count = [], 0
         for lo, hi in zip([0, *cuts], [*cuts, len(cols[0])]):
-            p, q = compare([c[lo:hi] for c in cols], sketch[lo:hi], first[lo:hi])
-            a += p
-            b += q
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j").mapInArrow(scan, "a long, b long").distinct()
+            for pair in compare([c[lo:hi] for c in cols], sketch[lo:hi], first[lo:hi]):
+                found.append(pair)
+                count += len(pair[0])
+                if count >= 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+                    found, count = [], 0
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+
+    parts = []
+    for w in range(waves):
+        wave = spread.filter(F.pmod(F.xxhash64("entry", "i", "j"), F.lit(waves)) == w).join(facts, "cls").select("entry", "i", "j", "mine", "cls", "label", "n", "sketch", "firsts")
+        parts.append(materialize(wave.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j").mapInArrow(scan, "a long, b long"), "wave"))
+    found = materialize(reduce(DataFrame.union, parts).distinct(), "met-pairs")
+    discard(rows, facts, *parts)
+    return found
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -393,6 +435,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         most, largest = classes.groupBy("cls").agg(F.count("*").alias("k"), F.max("n").alias("n")).agg(F.max("k"), F.max("n")).first()
         if (most or 0) <= 1:
             break
+        discard(rows, classes)
         salt += 1
     bands = Bands(percent, largest or 1)
     edges = F.lit(0)
@@ -402,17 +445,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     index = Index(bands, by_band)
     group = W.partitionBy("entry")
     shared = indexed(docs, text_col, index, words, salt).select("entry", "cls", F.min("cls").over(group).alias("a"), F.max("cls").over(group).alias("z"))
-    shared = distinct_entries(materialize(shared.filter("a <> z").select("entry", "cls").distinct(), "shared-entries"))
+    every = materialize(shared.filter("a <> z").select("entry", "cls").distinct(), "shared-entries")
+    shared = distinct_entries(every)
+    discard(every)
     first = shared.groupBy("entry").agg(F.min("cls").alias("a"))
     pairs = materialize(shared.join(first, "entry").filter("cls <> a").groupBy(F.col("cls").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
     repeated = (filled.groupBy("id", "th").count().agg(F.max("count")).first()[0] or 0) > 1
-    links, tried, found, step = None, pairs, None, 0
+    links, tried, found, labelled, step = None, pairs, None, None, 0
     while True:
         similar = verified(pairs, classes, docs, id_col, text_col, words, percent, repeated) if pairs.head(1) else pairs
         new = links is None or bool(similar.head(1))
         if new:  # else the components stay, and what they have across has been tried
             links = similar if links is None else links.unionByName(similar)
             found = graph.components(links)
+            if labelled:
+                discard(labelled)
             labelled = with_labels(shared, found) if step <= ROUNDS else None
         if step > ROUNDS:
             break
@@ -420,6 +467,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         pairs = across(labelled) if step <= ROUNDS else crossing(labelled, classes, percent)
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
         tried = tried.unionByName(pairs)
+    discard(shared, *([labelled] if labelled else []))
     ids = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "id", F.coalesce("label", "cls").alias("label"))
     smallest = materialize(ids.groupBy("label").agg(F.min("id").alias("component_id")), "component-ids")
     of_class = materialize(materialize(ids.select("cls", "label"), "class-labels").join(smallest, "label").select("cls", F.col("label").alias("component"), "component_id"), "class-components")

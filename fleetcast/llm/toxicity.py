@@ -22,7 +22,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
 from fleetcast.llm import langid
 from fleetcast.llm.texts import LETTER, SENT_ROWS, SpanHash, buffers, mixed, pieces, runs
-from fleetcast.session import materialize
+from fleetcast.session import discard, materialize
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8, 10)  # bytes
@@ -359,6 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {(r.held, r.y): r["count"] for r in sample.groupBy("held", "y").count().collect()}
     classes = {y for _, y in n}
     if len(classes) < 2:
+        discard(sample)
         net = settled(begun())
         net.out[:], net.out_bias = 0, (4.0 if classes == {1} else -4.0)
         return net
@@ -375,6 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         named = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
         net.languages = langid.refined(langid.fit(named, "text", "lang", "key"), named, "text", "lang")
     net.thresholds = calibrated(_judged(sample.filter("held").select("text", "y"), net))
+    discard(sample)
     return net
 
 

@@ -85,14 +85,35 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{_OWNER.get() or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back.
 
-    Survives lost executors, unlike cached blocks.
+    Survives lost executors, unlike cached blocks. Files that the query shuffled go as soon as the table is written: else they stay
+    until the driver happens to collect its garbage, which it does by the number of queries and not by their size.
     """
-    path = scratch_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_folder(spark, label)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    vars(table)["_written"] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables from ``materialize`` that nothing reads any more."""
+    for table in tables:
+        remove_folder(table.sparkSession, vars(table)["_written"])
 
 
 def fits_broadcast(df: DataFrame) -> bool:
